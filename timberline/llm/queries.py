@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from timberline.llm import exact_dedup, mixing
+from timberline.llm import decontaminate, exact_dedup, importance, mixing, simhash
 
 
 def queries() -> dict:
-    return {"op4_mix_sources": mixing.op4_mix_sources, "op9_exact_dedup": exact_dedup.op9_exact_dedup}
+    return {
+        "op1_importance_resampling": importance.op1_importance_resampling,
+        "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_simhash_bktree": simhash.op5_simhash_bktree,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.OP4_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op4_mix_sources": mixing.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
