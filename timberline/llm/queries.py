@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import decontaminate, exact_dedup, importance, mixing, simhash
+from timberline.llm import decontaminate, exact_dedup, importance, mixing, simhash, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_importance_resampling": importance.op1_importance_resampling,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_simhash_bktree": simhash.op5_simhash_bktree,
+        "op7_url_templates": url_filter.op7_url_templates,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_toxicity_chain": toxicity.op10_toxicity_chain,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op4_mix_sources": mixing.OP4_SQL, "op7_url_templates": url_filter.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
