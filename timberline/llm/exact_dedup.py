@@ -51,7 +51,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = saved(rows.select("_id", *extras, F.when(F.col("_h"), F.col("_full")).alias("_full")), "digests")
 
     groups = rows.filter("_full is not null").groupBy("_full").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
-    found = rows.join(groups, "_full", "left")
+    alone = rows.filter("_full is null").select("*", F.lit(None).cast(groups.schema["_keep"].dataType).alias("_keep"), F.lit(None).cast("long").alias("_size"))
+    found = rows.filter("_full is not null").join(groups, "_full", "left").unionByName(alone)  # rows without a key would meet in one task
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return found.select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
