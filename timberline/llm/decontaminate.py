@@ -169,6 +169,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
+    found = contamination(docs, items, size, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_hit_id"), F.col("sig").alias("_hit_sig")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hit_sig"))
+    return docs.join(small(saved(found, "contaminated")), same, "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = contamination(docs, items)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from timberline.llm import decontaminate, exact_dedup, importance, mixing, simhash, toxicity, url_filter
+from timberline.llm import decontaminate, exact_dedup, importance, mixing, repeats, simhash, token_output, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_importance_resampling": importance.op1_importance_resampling,
+        "op2_warc_derivatives": warc.op2_warc_derivatives,
+        "op3_token_files": token_output.op3_token_files,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_simhash_bktree": simhash.op5_simhash_bktree,
+        "op6_bwt_repeats": repeats.op6_bwt_repeats,
         "op7_url_templates": url_filter.op7_url_templates,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,

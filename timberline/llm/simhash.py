@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import partitions, saved
+from timberline.llm.common import partitions, saved, small
 from timberline.llm.components import connected
 
 #: Fingerprints in one tree at most; fuller buckets are cut finer, then into several trees.
@@ -185,5 +185,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` without those that a smaller id is linked to; of rows that repeat an id, one stays.
+
+    Rows without an id go if their component has an id, and stay otherwise. All columns are kept.
+    """
+    groups = saved(near_groups(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias("_id"), "component_id"), "groups")
+    gone = small(saved(groups.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "gone"))
+    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    again = saved(groups.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"), "again")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    once = kept.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)
+
+
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
