@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import saved, small, text_or_empty
+from timberline.llm.common import fresh, saved, small, text_or_empty
 from timberline.llm.textbytes import LETTERS, LOWER, Rolling, chunks, flat, words
 
 #: Words in a window of a benchmark item.
@@ -171,8 +171,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
-    found = contamination(docs, items, size, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_hit_id"), F.col("sig").alias("_hit_sig")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hit_sig"))
+    own, sig = fresh(docs, "_hit_id"), fresh(docs, "_hit_sig")
+    found = contamination(docs, items, size, id_col, text_col).filter("contaminated").select(F.col(id_col).alias(own), F.col("sig").alias(sig)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty(text_col)) == F.col(sig))
     return docs.join(small(saved(found, "contaminated")), same, "left_anti")
 
 

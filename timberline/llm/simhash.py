@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import partitions, saved, small
+from timberline.llm.common import fresh, partitions, saved, small
 from timberline.llm.components import connected
 
 #: Fingerprints in one tree at most; fuller buckets are cut finer, then into several trees.
@@ -190,15 +190,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows without an id go if their component has an id, and stay otherwise. All columns are kept.
     """
-    groups = saved(near_groups(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias("_id"), "component_id"), "groups")
-    gone = small(saved(groups.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "gone"))
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    again = saved(groups.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"), "again")
+    own = fresh(docs, "_id")
+    groups = saved(near_groups(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias(own), F.col("component_id").alias("_root")), "groups")
+    gone = small(saved(groups.filter(~F.col(own).eqNullSafe(F.col("_root"))).select(own).distinct(), "gone"))
+    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
+    again = saved(groups.filter(F.col(own).isNotNull()).groupBy(own).count().filter("count > 1").select(own), "again")
     if again.isEmpty():
         return kept
     again = small(again)
-    once = kept.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)
+    once = kept.join(again, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, F.col(id_col) == F.col(own), "left_anti").unionByName(once)
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
