@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import text_or_empty
+from timberline.llm.common import saved, small, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a size class in one ordered slice, on average.
@@ -56,7 +56,7 @@ def size_class(size: Column | str) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 17, slice_rows: int = SLICE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, ``copies``, ``taken`` (copies x size), and the columns in ``carry``.
+    """One row per row of ``docs``: id, source, size, source_size, target, ``copies``, ``taken`` (copies x size), and the columns in ``carry``, named ``_c_<column>``.
 
     Every document of a source expects target / source_size copies. The documents of a source stand in a fixed
     order; the running sum of expected copies plus one random offset per source crosses some integers at each
@@ -71,18 +71,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     emitted, but take no words. Rows that repeat an id are counted as rows of their own, in any order among
     themselves. Other columns of ``docs`` are not read unless in ``carry``. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry]).withColumn("class", size_class("size"))
-    classes = rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    light = saved(rows.select("id", "source", "size"), "sizes")  # words are counted once, and again only where other columns are carried
+    rows = rows if carry else light
+    classes = light.groupBy("source", size_class("size").alias("class")).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    classes = saved(classes, "classes")
     plan = targets(classes.groupBy("source").agg(F.sum("total").alias("source_size")), weights, share, ceiling)
-    cut = classes.select(F.col("source").alias("_s"), F.col("class").alias("_c"), F.ceil(F.col("n") / slice_rows).cast("long").alias("slices"))
-    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c"))
-    rows = rows.join(cut, same, "left").drop("_s", "_c").withColumn("slice", drawn("slice", F.col("id"), seed) % F.col("slices"))
+    cut = small(classes.select(F.col("source").alias("_s"), F.col("class").alias("_c"), F.ceil(F.col("n") / slice_rows).cast("long").alias("slices")))
 
-    parts = rows.groupBy("source", "class", "slice").agg(F.count("*").alias("n"))
+    def sliced(df: DataFrame) -> DataFrame:
+        df = df.withColumn("class", size_class("size"))
+        df = df.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c")), "left").drop("_s", "_c")
+        return df.withColumn("slice", drawn("slice", F.col("id"), seed) % F.col("slices"))
+
+    rows = sliced(rows)
+    parts = sliced(light).groupBy("source", "class", "slice").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("_s"), F.col("class").alias("_c"), F.col("slice").alias("_p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     planned = plan.select(F.col("source").alias("_s2"), "source_size", "target")
-    parts = parts.join(planned, F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2")
+    parts = small(saved(parts.join(planned, F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2"), "slices"))
 
     inside = Window.partitionBy("source", "class", "slice").orderBy("size", "id")
     numbered = rows.withColumn("n", F.row_number().over(inside))
@@ -92,16 +99,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     copies = F.floor(each * rank + offset) - F.floor(each * (rank - 1) + offset)
     return numbered.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[F.col(f"_c_{c}").alias(c) for c in carry],
+        copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[f"_c_{c}" for c in carry],
     )
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as many times as it has copies."""
-    others = tuple(c for c in docs.columns if c not in (how.get("id_col", "doc_id"), how.get("source_col", "source")))
-    mixed = mix(docs, carry=others, **how).filter("copies > 0")
+    mixed = mix(docs, carry=tuple(docs.columns), **how).filter("copies > 0")
     mixed = mixed.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return mixed.select(*docs.columns)
+    return mixed.select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
