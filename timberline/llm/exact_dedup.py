@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import saved, small, text_or_empty
+from timberline.llm.common import fresh, saved, small, text_or_empty
 
 #: Characters that the second round reads of each text that is left.
 PREFIX = 256
@@ -51,6 +51,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = saved(rows.select("_id", *extras, F.when(F.col("_h"), F.col("_full")).alias("_full")), "digests")
 
     groups = rows.filter("_full is not null").groupBy("_full").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
+    groups = small(saved(groups, "groups"))
     alone = rows.filter("_full is null").select("*", F.lit(None).cast(groups.schema["_keep"].dataType).alias("_keep"), F.lit(None).cast("long").alias("_size"))
     found = rows.filter("_full is not null").join(groups, "_full", "left").unionByName(alone)  # rows without a key would meet in one task
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
@@ -62,8 +63,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text an earlier id has; of rows that repeat id and text, one stays."""
-    ids = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.dropDuplicates([id_col]).join(ids, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    own = fresh(docs, "_kept_id")
+    ids = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(own)).distinct()
+    return docs.dropDuplicates([id_col]).join(ids, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
