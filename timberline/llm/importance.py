@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import saved
+from timberline.llm.common import fresh, saved
 from timberline.llm.textbytes import LETTERS, SPACE, Rolling, chunks, mixed
 
 #: Buckets that n-grams are hashed to.
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the size of the sample are fitted on at most, taken by a hash of the id.
 LABEL_ROWS = 200_000
+#: Times that the target model sees the raw model's average bucket besides its own counts.
+PRIOR = 20.0
 #: Share of the labelled target documents whose weights may lie under the sample's edge.
 MISSED = 0.002
 
@@ -69,10 +71,17 @@ def models(docs: DataFrame, target: Column, text_col: str = "text", buckets: int
 
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("own"))
     counts = rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    seen = np.full((2, buckets), 1.0)
+    seen = np.zeros((2, buckets))
     for bucket, raw, own in counts:
-        seen[:, bucket] += raw, own
-    return np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
+        seen[:, bucket] = raw, own
+    return log_ratio(*seen)
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Of the smoothed probabilities: raw counts get one more each, target counts ``prior`` for an average bucket, shared out as the raw ones are."""
+    p = (raw + 1) / (raw + 1).sum()
+    weight = prior * len(raw)
+    return np.log((target + weight * p) / (target.sum() + weight)) - np.log(p)
 
 
 def with_weights(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", name: str = "log_weight", keep: list[str] | None = None) -> DataFrame:
@@ -81,12 +90,13 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", nam
     names = docs.columns if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in chunks(batches, "_text"):
+        for batch, data, at in chunks(batches, own):
             doc, found = ngrams(data, at, len(sent.value))
-            weight = np.bincount(doc, weights=sent.value[found], minlength=batch.num_rows)
+            weight = np.bincount(doc, weights=sent.value[found], minlength=batch.num_rows).astype(float)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight)], names=[*batch.schema.names[:-1], name])
 
-    rows = docs.select(*[F.col(c) for c in names], F.col(text_col).alias("_text"))
+    own = fresh(docs, "_text")
+    rows = docs.select(*[F.col(c) for c in names], F.col(text_col).alias(own))
     kept = docs.select(*names).schema
     return rows.mapInArrow(run, kept.add(name, "double"))
 
@@ -125,18 +135,21 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     keys are a sample without replacement in proportion to the weights. Without ``k``, the sample has as many
     documents as have a weight of at least the ``missed`` quantile of labelled target documents, so that about all clean text is in it.
 
+    Only every other labelled document (by a hash of the id) is counted for the target model: the others, which the model
+    hasn't seen, tell where the weights of good documents end.
+
     Null and empty texts weigh nothing (log weight 0). Rows that repeat an id get the same noise. Keys equal to
     the edge are all in the sample. Labels of unknown documents, and null labels, count for nothing; of an
     id that is labelled twice one label counts. Without any target label every document weighs about alike, and all stay.
     """
-    bounded = saved(bounded_labels(labels, label_rows, id_col).select(F.col(id_col).alias("_label_id"), (F.col(target_col) == 1).alias("_target")), "labels")
+    bounded = saved(bounded_labels(labels, label_rows, id_col).select(F.col(id_col).alias("_label_id"), (F.col(target_col) == 1).alias("_target"), (F.xxhash64(F.col(id_col), F.lit(seed)) % 2 == 0).alias("_fit")), "labels")
     # bounded: at most label_rows rows of two numbers
-    known = docs.join(F.broadcast(bounded), F.col(id_col) == F.col("_label_id"), "left")
-    ratio = models(known, F.col("_target"), text_col)
-    weighed = with_weights(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ratio, keep=["id"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ratio = models(rows.join(F.broadcast(bounded), F.col("id") == F.col("_label_id"), "left"), F.col("_target") & F.col("_fit"))
+    weighed = with_weights(rows, ratio, keep=["id"])
     scores = saved(weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("id"), seed)), "weights")
     if k is None:
-        own = scores.join(F.broadcast(bounded.filter("_target")), F.col("id") == F.col("_label_id")).select("log_weight")
+        own = scores.join(F.broadcast(bounded.filter("_target and not _fit")), F.col("id") == F.col("_label_id")).select("log_weight")
         n = own.count()
         edge = kth_largest(own, n - int(missed * n)) if n else None
         k = scores.count() if edge is None else scores.filter(F.col("log_weight") >= edge).count()
@@ -147,7 +160,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
 def sampled(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are in the sample, with all their columns."""
     ratio, edge, _ = resample(docs, labels, seed=seed, id_col=id_col, text_col=text_col, **how)
-    name = next(c for c in (f"_w{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    name = fresh(docs, "_weight")
     return with_weights(docs, ratio, text_col, name).filter(F.col(name) + gumbel(F.col(id_col), seed) >= F.lit(edge)).select(*docs.columns)
 
 
