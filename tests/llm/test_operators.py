@@ -177,9 +177,10 @@ def test_range_coder_round_trip():
     rng = np.random.default_rng(3)
     for kind in (lambda n: np.minimum(rng.pareto(0.7, n) * 9, 65_535), lambda n: rng.integers(0, 65_536, n), lambda n: np.full(n, 7), lambda n: np.arange(n) % 5):
         blocks = [kind(n).astype(np.uint32) for n in (900, 900, 513, 40, 1)]
-        coded = range_coder.encode(blocks)
-        assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(coded, [len(b) for b in blocks]), strict=True))
-        alone = range_coder.decode([coded[2]], [513])[0]  # blocks are read on their own
+        prior = range_coder.Prior.of(np.concatenate(blocks))
+        coded, read = range_coder.encode(blocks, prior), range_coder.Prior.unpack(prior.pack())
+        assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(coded, [len(b) for b in blocks], read), strict=True))
+        alone = range_coder.decode([coded[2]], [513], read)[0]  # blocks are read on their own
         assert (alone == blocks[2]).all()
 
 

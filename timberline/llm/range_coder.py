@@ -1,93 +1,145 @@
 """An adaptive context-mixing range coder for token ids, over many blocks at once.
 
-Every block is coded for itself: its model starts afresh, so blocks are read in any order. Numpy works on one id of each
-block (a lane) at a time. An id is four numbers of four bits, high to low. For each of them, three tables of counts
-predict: by the bits before it in the id (order 0), by those and the id before (order 1), and the two ids before (order 2).
-The predictions are mixed with weights that each block learns: a weight grows as its table gave what came more than the mix
-did. The mix is made a table of whole numbers, and the number is coded by its share of a 64-bit range, without carries:
-a range that lies across a border for too long is cut down to end at it.
-
-All steps are single IEEE or integer operations per lane, so the reader repeats the writer's numbers on any machine.
+Four predictors say what the next id may be: order 2 names the id that last followed the same two ids, order 1 the last two
+different ones that followed the same id, and order 0 gives every id of the segment its share there, a table in the segment's head. Their
+predictions are mixed with weights that each block learns, apart for how often orders 1 and 2 were right of late: a weight grows as its
+predictor gave what came more than the mix did. The id is coded by its share of the mix, in a 64-bit range without
+carries: a range that lies across a border for too long is cut down to end at it. An id takes one step, since only the named
+ids and sums of order 0 are looked at.
+
+Every block is coded for itself: its predictors and weights start afresh, so blocks are read in any order. Numpy works on one id of each
+block (a lane) at a time. All steps are single IEEE or integer operations per lane, so the reader repeats the writer's
+numbers on any machine.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
-ROWS = 1 << 10
-#: Weight of what hasn't been seen, for each order, and how fast mixing weights move.
-UNSEEN = np.array([0.4, 0.15, 0.06], np.float32)
-RATE = np.float32(0.06)
-_SCALE = np.float32(65_000)
-_K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-_RUNNING = np.tril(np.ones((16, 16), np.float32))
-_MOST = np.uint64(1 << 20)
+#: Contexts of an order that a block tells apart, as a power of two.
+SLOT_BITS = 10
+#: The table of order 0 sums to 2^SHARE_BITS, the weights of a mix to 2^WEIGHT_BITS.
+SHARE_BITS, WEIGHT_BITS = 20, 9
+RATE = np.float32(0.03)
+
+_SLOTS, _SHIFT = 1 << SLOT_BITS, np.uint32(32 - SLOT_BITS)
+_UNIT, _WHOLE = 1 << SHARE_BITS, 1 << WEIGHT_BITS
+_TOTAL_BITS = np.uint64(SHARE_BITS + WEIGHT_BITS)
+_K1, _K2, _K3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _TOP, _BOTTOM, _16 = np.uint64(1 << 48), np.uint64((1 << 32) - 1), np.uint64(16)
 
 
+class Prior:
+    """Shares of ids, at least one unit for each id that occurs, and sums before them."""
+
+    def __init__(self, shares: np.ndarray):
+        self.shares = shares.astype(np.int64)
+        self.before = np.concatenate([[0], np.cumsum(self.shares)])
+        self.present = np.flatnonzero(self.shares)
+        self.ends = self.before[self.present + 1]
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior:
+        counts = np.bincount(ids, minlength=1).astype(np.int64)
+        seen = counts > 0
+        shares = np.where(seen, 1 + counts * (_UNIT - int(seen.sum())) // max(1, len(ids)), 0)
+        shares[shares.argmax()] += _UNIT - shares.sum()
+        return cls(shares)
+
+    def at(self, x: np.ndarray) -> np.ndarray:
+        """The ids in whose shares the numbers fall."""
+        return self.present[np.minimum(np.searchsorted(self.ends, x, side="right"), len(self.present) - 1)]
+
+    def pack(self) -> bytes:
+        table = np.stack([np.diff(self.present, prepend=0), self.shares[self.present]]).astype("<u4")
+        return zlib.compress(table.tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Prior:
+        gaps, found = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1).astype(np.int64)
+        present = np.cumsum(gaps)
+        shares = np.zeros(int(present[-1]) + 1, np.int64)
+        shares[present] = found
+        return cls(shares)
+
+
 class _Model:
-    """Counts of the numbers after each context, by order, lane and slot; arrays over lanes have the lanes last."""
-
-    def __init__(self, lanes: int):
-        self.counts = np.zeros((3 * lanes * ROWS, 16), np.uint8)
-        self.flat = self.counts.reshape(-1)
-        self.totals = np.zeros(3 * lanes * ROWS, np.uint8)
-        self.weights = np.full((3, lanes * 16), 1 / 3, np.float32)
-        self.base = (np.arange(3)[:, None] * lanes + np.arange(lanes)) * ROWS
+    """The adaptive part, for all lanes: named ids by slot (-1 for none), how often they were right, and weights."""
+
+    def __init__(self, lanes: int, prior: Prior):
+        self.prior = prior
+        self.named = np.full((3, lanes * _SLOTS), -1, np.int32)  # order 2, order 1, order 1 before that
+        self.right = np.zeros((2, lanes * _SLOTS), np.uint8)
+        self.weights = np.empty((4, lanes * 16), np.float32)
+        self.weights[:] = np.array([0.4, 0.3, 0.15, 0.15], np.float32)[:, None]
         self.lane = np.arange(lanes)
-        self.sets = self.lane * 16
-        self.apart = np.arange(3)[:, None] * lanes * 16
-
-    def predict(self, context: np.ndarray, node: np.ndarray) -> None:
-        """Sets ``shares``, the 16 numbers' shares as whole numbers, and ``sums``, their running sums: sixteen rows of lanes.
-
-        Sums of whole numbers below 2^24 are exact in 32-bit floats, in any order.
-        """
-        m = len(node)
-        slot = ((context ^ (node * _K[0])) * _K[1]) >> np.uint32(22)
-        self.at = slot + self.base[:, :m]
-        rows, self.n = self.counts.take(self.at, axis=0), self.totals.take(self.at)
-        if int(self.n.max()) > 240:
-            old = self.at[self.n > 240]
-            self.counts[old] >>= 1
-            self.totals[old] = self.counts[old].sum(axis=1, dtype=np.uint8)
-            rows, self.n = self.counts.take(self.at, axis=0), self.totals.take(self.at)
-        self.rows = rows
-        seen = np.minimum(self.n, 3)
-        self.set = self.sets[:m] + (seen[1] * 4 + seen[2])
-        self.mix = self.weights.take(self.set, axis=1)
-        self.share = np.float32(1) / (self.n + np.float32(16) * UNSEEN[:, None])
-        part = self.mix * self.share
-        p = rows[0].T * part[0]
-        p += rows[1].T * part[1]
-        p += rows[2].T * part[2]
-        p += part[0] * UNSEEN[0] + part[1] * UNSEEN[1] + part[2] * UNSEEN[2]
-        p *= _SCALE
-        np.floor(p, out=p)
-        p += np.float32(1)
-        self.shares, self.sums = p, _RUNNING @ p
-
-    def learn(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes in what came; its share, and the sum of the shares before it."""
-        m = len(s)
-        place = s * m + self.lane[:m]
-        q = self.shares.take(place)
-        before = self.sums.take(place) - q
-        old = self.rows.reshape(-1).take(self.sets[:m] + s + (np.arange(3) * (16 * m))[:, None])
-        own = (old + UNSEEN[:, None]) * self.share
-        mixed = self.mix[0] * own[0] + self.mix[1] * own[1] + self.mix[2] * own[2]
-        self.weights.reshape(-1)[self.set + self.apart] = self.mix * ((1 - RATE) + RATE * (own / mixed))
-        self.flat[self.at * 16 + s] = old + np.uint8(1)
-        self.totals[self.at] = self.n + np.uint8(1)
-        return q.astype(np.uint64), before.astype(np.uint64)
-
-
-def _contexts(before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-    one = (before + np.uint32(1)) * _K[1]
-    return np.stack([np.zeros_like(one), one, (one ^ (before2 + np.uint32(7)) * _K[2]) * _K[0]])
-
-
-def _narrow(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+
+    def predict(self, m: int) -> None:
+        """Sets ``ids`` (3 rows of named ids) and the whole-number weights ``q`` of them and ``q0`` of order 0."""
+        one, base = (self.one[:m] + np.uint32(1)) * _K1, self.lane[:m] * _SLOTS
+        self.slot1 = (one >> _SHIFT) + base
+        self.slot2 = ((((one ^ (self.two[:m] * _K2)) * _K3)) >> _SHIFT) + base
+        self.ids = np.stack([self.named[0].take(self.slot2), self.named[1].take(self.slot1), self.named[2].take(self.slot1)]).astype(np.int64)
+        self.right2, self.right1 = self.right[0].take(self.slot2), self.right[1].take(self.slot1)
+        self.set = self.lane[:m] * 16 + (self.right1 * 4 + self.right2)
+        self.w = self.weights.take(self.set, axis=1)
+        self.q = (self.w[1:] * np.float32(_WHOLE - 16)).astype(np.int64) + 1
+        self.q[self.ids < 0] = 0
+        self.q0 = _WHOLE - self.q.sum(axis=0)
+
+    def interval(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of each lane's id begins in the mix, and how wide it is."""
+        self.hit = self.ids == own
+        self.share = self.prior.shares.take(own)
+        self.given = (self.q * self.hit).sum(axis=0)
+        begin = self.q0 * self.prior.before.take(own) + ((self.q * (self.ids < own)).sum(axis=0) << SHARE_BITS)
+        return begin.astype(np.uint64), (self.q0 * self.share + (self.given << SHARE_BITS)).astype(np.uint64)
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The id in whose share of the mix each number falls."""
+        a, b, c = self.ids  # b and c differ unless both are -1
+        q = self.q
+        less = {(0, 1): a < b, (0, 2): a < c, (1, 2): b < c}
+        same = {(0, 1): a == b, (0, 2): a == c}
+        after = lambda i, j: ~(less[i, j] | same[i, j]) if (i, j) in same else ~less[i, j]
+        ahead = (q[1] * after(0, 1) + q[2] * after(0, 2), q[0] * less[0, 1] + q[2] * after(1, 2), q[0] * less[0, 2] + q[1] * less[1, 2])
+        own = (q[0] + q[1] * same[0, 1] + q[2] * same[0, 2], q[1] + q[0] * same[0, 1], q[2] + q[0] * same[0, 2])
+        out, below = np.full(len(v), -1), np.zeros(len(v), np.int64)
+        for k in range(3):
+            named = np.minimum(np.maximum(self.ids[k], 0), len(self.prior.shares) - 1)
+            begin = self.q0 * self.prior.before.take(named) + (ahead[k] << SHARE_BITS)
+            past = v >= begin + self.q0 * self.prior.shares.take(named) + (own[k] << SHARE_BITS)
+            there = self.ids[k] >= 0
+            np.copyto(out, self.ids[k], where=there & (v >= begin) & ~past)
+            below += q[k] * (there & past)
+        rest = self.prior.at((v - (below << SHARE_BITS)) // self.q0)
+        return np.where(out >= 0, out, rest)
+
+    def learn(self, own: np.ndarray) -> None:
+        """Takes in what came; call after :meth:`interval`."""
+        m = len(own)
+        p0 = self.share.astype(np.float32) * np.float32(1 / _UNIT)
+        mix = (self.q0.astype(np.float32) * p0 + self.given.astype(np.float32)) * np.float32(1 / _WHOLE)
+        gain = RATE / mix
+        w = self.w
+        w[0] *= (1 - RATE) + gain * p0
+        w[1:] *= (1 - RATE) + gain * self.hit
+        w /= w[0] + w[1] + w[2] + w[3]
+        self.weights[:, self.set] = w
+        id32 = own.astype(np.int32)
+        self.right[0][self.slot2] = np.where(self.hit[0], np.minimum(self.right2 + 1, 3), 0)
+        self.named[0][self.slot2] = id32
+        self.right[1][self.slot1] = np.where(self.hit[1], np.minimum(self.right1 + 1, 3), 0)
+        self.named[2][self.slot1] = np.where(self.hit[1], self.ids[2], self.ids[1])
+        self.named[1][self.slot1] = id32
+        self.two[:m] = self.one[:m]
+        self.one[:m] = own
+
+
+def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     """Lanes whose next 16 bits are settled, after cutting short ranges that lie across a border."""
     same = (low ^ (low + span)) < _TOP
     short = span <= _BOTTOM
@@ -97,79 +149,70 @@ def _narrow(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     return np.flatnonzero(same | short)
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The payload of each block of ids below 65,536. The blocks must not get longer along the list."""
+def encode(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
+    """The payload of each block of ids. The blocks must not get longer along the list, and their ids must be in ``prior``."""
     if not blocks:
         return []
     sizes = np.array([len(b) for b in blocks])
     lanes, longest = len(blocks), int(sizes[0])
-    ids = np.zeros((longest, lanes), np.uint32)
+    ids = np.zeros((longest, lanes), np.uint16)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
-    model, low, span = _Model(lanes), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, used = np.zeros((lanes, longest + longest // 2 + 16), "<u2"), np.zeros(lanes, np.int64)
-    before, before2, lane = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.arange(lanes)
+    model, low, span = _Model(lanes, prior), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    out, used = np.zeros((lanes, longest + 16), "<u2"), np.zeros(lanes, np.int64)
     for t in range(longest):
         m = int(np.searchsorted(-sizes, -t))  # lanes that still have ids
-        own, context = ids[t, :m], _contexts(before[:m], before2[:m])
-        lows, spans, node = low[:m], span[:m], np.ones(m, np.uint32)
-        for shift in (12, 8, 4, 0):
-            s = ((own >> np.uint32(shift)) & np.uint32(15)).astype(np.int64)
-            model.predict(context, node)
-            spans //= model.sums[15].astype(np.uint64)
-            q, ahead = model.learn(s)
-            lows += spans * ahead
-            spans *= q
-            while len(k := _narrow(lows, spans)):
-                if int(used[k].max()) + 5 > out.shape[1]:
-                    out = np.concatenate([out, np.zeros_like(out)], axis=1)
-                out[k, used[k]] = lows[k] >> np.uint64(48)
-                used[k] += 1
-                lows[k] <<= _16
-                spans[k] <<= _16
-            node = (node << np.uint32(4)) | s.astype(np.uint32)
-        before2[:m], before[:m] = before[:m], own
+        own, lows, spans = ids[t, :m].astype(np.int64), low[:m], span[:m]
+        model.predict(m)
+        begin, width = model.interval(own)
+        spans >>= _TOTAL_BITS
+        lows += spans * begin
+        spans *= width
+        model.learn(own)
+        while len(k := _settled(lows, spans)):
+            if int(used[k].max()) + 5 > out.shape[1]:
+                out = np.concatenate([out, np.zeros_like(out)], axis=1)
+            out[k, used[k]] = lows[k] >> np.uint64(48)
+            used[k] += 1
+            lows[k] <<= _16
+            spans[k] <<= _16
     if int(used.max()) + 4 > out.shape[1]:
         out = np.concatenate([out, np.zeros((lanes, 4), "<u2")], axis=1)
+    lane = np.arange(lanes)
     for i in range(4):
         out[lane, used + i] = (low >> np.uint64(48 - 16 * i)) & np.uint64(0xFFFF)
     return [out[i, : used[i] + 4].tobytes() for i in range(lanes)]
 
 
-def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+def decode(payloads: list[bytes], sizes: list[int], prior: Prior) -> list[np.ndarray]:
     """The ids of each block; the blocks must not get longer along the list."""
     if not payloads:
         return []
     sizes, lanes, longest = np.array(sizes), len(payloads), int(sizes[0])
     data = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 8), "<u2")
     for i, p in enumerate(payloads):
-        data[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    model, low, span = _Model(lanes), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+        data[i, : len(p) // 2] = np.frombuffer(p[: len(p) // 2 * 2], "<u2")
+    model, low, span = _Model(lanes, prior), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for i in range(4):
         code = (code << _16) | data[:, i]
     used, last = np.full(lanes, 4), data.shape[1] - 1
-    ids = np.zeros((longest, lanes), np.uint32)
-    before, before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    ids = np.zeros((longest, lanes), np.uint16)
+    most = np.uint64((1 << int(_TOTAL_BITS)) - 1)
     for t in range(longest):
         m = int(np.searchsorted(-sizes, -t))
-        context = _contexts(before[:m], before2[:m])
-        lows, spans, codes, node = low[:m], span[:m], code[:m], np.ones(m, np.uint32)
-        for _ in range(4):
-            model.predict(context, node)
-            spans //= model.sums[15].astype(np.uint64)
-            target = np.minimum((codes - lows) // spans, _MOST).astype(np.float32)
-            s = np.minimum((model.sums <= target).sum(axis=0, dtype=np.uint8), 15).astype(np.int64)
-            q, ahead = model.learn(s)
-            lows += spans * ahead
-            spans *= q
-            while len(k := _narrow(lows, spans)):
-                codes[k] = (codes[k] << _16) | data[k, np.minimum(used[k], last)]
-                used[k] += 1
-                lows[k] <<= _16
-                spans[k] <<= _16
-            node = (node << np.uint32(4)) | s.astype(np.uint32)
-        own = node & np.uint32(0xFFFF)
+        lows, spans, codes = low[:m], span[:m], code[:m]
+        model.predict(m)
+        spans >>= _TOTAL_BITS
+        own = model.find(np.minimum((codes - lows) // spans, most).astype(np.int64))
+        begin, width = model.interval(own)
+        lows += spans * begin
+        spans *= width
+        model.learn(own)
+        while len(k := _settled(lows, spans)):
+            codes[k] = (codes[k] << _16) | data[k, np.minimum(used[k], last)]
+            used[k] += 1
+            lows[k] <<= _16
+            spans[k] <<= _16
         ids[t, :m] = own
-        before2[:m], before[:m] = before[:m], own
-    return [ids[:n, i].copy() for i, n in enumerate(sizes)]
+    return [ids[:n, i].astype(np.uint32) for i, n in enumerate(sizes)]

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.llm.common import partitions, saved, small
-from timberline.llm.range_coder import decode, encode
+from timberline.llm.range_coder import Prior, decode, encode
 
 #: Ids in a block, and blocks in a segment (a row of the file), at most.
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 2048, 2048
 END = 2
 MAGIC = b"TLTOKEN1"
 #: Words of which an encoder remembers the ids.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def tokenizer_path() -> str:
@@ -31,10 +31,11 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts. Of byte-level BPE without a prefix space, each different word is encoded once.
+    """Ids of whole texts. Of byte-level BPE without a prefix space, each different word is encoded once while it is remembered.
 
     Its pattern never joins a space to what is before it, unless white space or the end follows. A text in which each space is followed by
-    something else is thus encoded word by word, with the space before the word; any other text is encoded in one piece.
+    something else is thus encoded word by word, with the space before the word; any other text is encoded in one piece. New words are
+    encoded end to end, and their ids told apart by the tokens that begin with a space.
     """
 
     def __init__(self, path: str | None = None):
@@ -47,51 +48,66 @@ class Encoder:
             parts = json.load(f)
         before = parts.get("pre_tokenizer") or {}
         self.by_word = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not parts.get("normalizer")
-        self.known: dict[str, bytes] = {}
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids of more than 16 bits aren't supported")
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
-    def _add(self, pieces: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        """Makes the words (without the space before them) known."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, "<u2").tobytes()
+            self.known, self.older = {}, self.known
+        new = []
+        for x in words:
+            if x not in self.known:
+                if x in self.older:
+                    self.known[x] = self.older[x]
+                else:
+                    new.append(x)
+        if new:
+            ids = self._ids(" " + " ".join(new))
+            at = (np.flatnonzero(self.spaced[ids]) * 2).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(new, (data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)), strict=True))
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         for text in texts:
             text = text or ""
             if not self.by_word or re.search(r" (?:\s|\Z)", text):
-                yield np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+                yield self._ids(text)
                 continue
             first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]]
-            if new := [x for x in set(pieces) if x not in self.known]:
-                self._add(new)
-                if any(x not in self.known for x in pieces):  # the memory was cleared
-                    self._add(list(set(pieces)))
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u2")
+            self._learn(set(rest))
+            yield np.frombuffer(self._ids(first).tobytes() + b"".join(map(self.known.__getitem__, rest)), "<u2")
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: magic, number of blocks, then for each block its ids, CRC-32 of them and bytes; then the blocks."""
+    """A segment: magic, sizes, the table of shares of its ids; for each block the number of its ids, CRC-32 of them, and bytes; then the blocks."""
     size = max(512, min(block, len(ids) // 512))
     blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
-    coded = encode(blocks)
+    prior = Prior.of(ids)
+    shares, coded = prior.pack(), encode(blocks, prior)
     table = [struct.pack("<III", len(b), zlib.crc32(b.astype("<u4").tobytes()), len(c)) for b, c in zip(blocks, coded, strict=True)]
-    return b"".join([MAGIC, struct.pack("<I", len(blocks)), *table, *coded])
+    return b"".join([MAGIC, struct.pack("<II", len(blocks), len(shares)), shares, *table, *coded])
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The ids of a segment. A block whose ids don't have its checksum is an error."""
     if data[:8] != MAGIC:
         raise ValueError("not a token segment")
-    (n,) = struct.unpack_from("<I", data, 8)
-    table = [struct.unpack_from("<III", data, 12 + 12 * i) for i in range(n)]
-    at, coded = 12 + 12 * n, []
+    n, head = struct.unpack_from("<II", data, 8)
+    prior, at = Prior.unpack(data[16 : 16 + head]), 16 + head
+    table = [struct.unpack_from("<III", data, at + 12 * i) for i in range(n)]
+    at, coded = at + 12 * n, []
     for _, _, length in table:
         coded.append(data[at : at + length])
         at += length
-    blocks = decode(coded, [x[0] for x in table])
+    blocks = decode(coded, [x[0] for x in table], prior)
     for i, (b, (_, crc, _)) in enumerate(zip(blocks, table, strict=True)):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
             raise ValueError(f"checksum of block {i}")
