@@ -19,6 +19,7 @@ MERGED = 1 << 21
 
 _ANCHOR, _A = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
 _FEW = 1 << 20
+_ENDED = np.uint16(0xFFFF)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,26 +89,30 @@ def merge(shards: list[np.ndarray], length: int = LENGTH) -> np.ndarray:
     """Which suffixes of the shards' strings share their first ``length`` bytes with another: flags over all shards' bytes, end to end.
 
     A shard is a byte array of strings, each ended by a byte 255 (which UTF-8 has not). The interleave of the shards' suffixes begins in the
-    order in which the shards stand, all in one block. In each round every suffix looks at the byte before it (its symbol in the shard's
-    Burrows-Wheeler transform), and the suffixes one byte longer are dealt into the order of those bytes, stable; so after
-    k rounds the interleave is sorted by the first k bytes, and blocks of equal ones are intervals whose common prefix is at least k.
+    order in which the shards stand, all in one block. In each round every suffix looks at the two bytes before it (two symbols of the shard's
+    Burrows-Wheeler transform at once), and the suffixes two bytes longer are dealt into the order of those bytes, stable; so after
+    k rounds the interleave is sorted by the first 2k bytes, and blocks of equal ones are intervals whose common prefix is at least 2k.
     A block of one suffix stays one in all later rounds and leaves the interleave. No suffix is compared with another.
     """
     data = np.concatenate([np.zeros(0, np.uint8), *shards])
     order, block = np.arange(len(data)), np.zeros(len(data), np.int32)
-    for _ in range(length):
-        keep = order > 0
-        before, own = order[keep] - 1, block[keep]
-        symbol = data[before]
-        keep = symbol != 255
-        before, own, symbol = before[keep], own[keep], symbol[keep]
-        dealt = np.argsort(symbol, kind="stable")
-        order, own, symbol = before[dealt], own[dealt], symbol[dealt]
+    pairs = np.full(len(data), _ENDED, np.uint16)
+    if len(data) > 1:
+        inside = (data[:-1] != 255) & (data[1:] != 255)
+        pairs[:-1][inside] = (data[:-1].astype(np.uint16) << 8 | data[1:])[inside]
+    steps = [(1, np.where(data == 255, _ENDED, data.astype(np.uint16)))] * (length % 2) + [(2, pairs)] * (length // 2)
+    for size, symbols in steps:
+        before = order - size
+        symbol = symbols.take(before, mode="wrap")
+        keep = np.flatnonzero((symbol != _ENDED) & (before >= 0))
+        symbol = symbol.take(keep)
+        keep = keep.take(dealt := np.argsort(symbol, kind="stable"))
+        order, own, symbol = before.take(keep), block.take(keep), symbol.take(dealt)
         new = np.ones(len(order) + 1, bool)
         new[1:-1] = (symbol[1:] != symbol[:-1]) | (own[1:] != own[:-1])
-        alone = new[:-1] & new[1:]
-        block = np.cumsum(new[:-1], dtype=np.int32)
-        order, block = order[~alone], block[~alone]
+        several = np.flatnonzero(~(new[:-1] & new[1:]))
+        block = np.cumsum(new[:-1], dtype=np.int32).take(several)
+        order = order.take(several)
         if not len(order):
             break
     out = np.zeros(len(data), bool)
