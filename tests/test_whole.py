@@ -1,0 +1,23 @@
+"""Entries that hold whole texts of documents."""
+
+from timberline.plans.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_words_after_600_characters(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    lines = [r.line for r in QUERIES["whole_to_log_line"](spark, SF).collect()]
+    assert len(lines) == 1000 and sum(map(len, lines)) > 2 * sum(len(r.line) for r in QUERIES["to_log_line"](spark, SF).collect())
+    assert any(line.endswith(t) for line in lines for t in texts.values() if len(t) > 5000)
+
+
+def test_stitched_as_written(spark):
+    """Long runs of continuation lines come back whole from log text."""
+    texts = {r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 600").select("text").collect()}
+    got = {r.content for r in QUERIES["whole_stitch_entries"](spark, SF).collect()}
+    assert len(texts & got) > 0.9 * len(texts)
+
+
+def test_sql_takes_whole_texts():
+    assert not any("600)" in s for n, s in SQL.items() if n.startswith("whole_"))

@@ -14,7 +14,7 @@ from timberline.operators import classify as C
 from timberline.operators import dims as D
 from timberline.operators import entries as E
 from timberline.operators import review as R
-from timberline.plans.log_entries import FLAGS_SQL, analysed, flagged, loaded, log_entries, original_path, parsed, rendered, scanned, sql, workspace
+from timberline.plans.log_entries import FLAGS_SQL, analysed, flagged, loaded, log_entries, original_path, parsed, rendered, scanned, sql, whole, whole_sql, workspace
 from timberline.schema import STOP_WORDS, TOKEN
 from timberline.sources import scan, sinks
 
@@ -500,3 +500,10 @@ def worker_errors(spark, sf):
     """From log text on disk: worker-log entries of level error, in chronological order over all files."""
     hits = loaded(spark, sf).filter(P.term("worker_log", "flag") & (F.lower("level") == "error"))
     return in_order(R.order_chrono(hits), *R.CHRONO).select("file_path", "line_number", ms(), "level", "rank")
+
+
+# --- whole texts -----------------------------------------------------------------------------------------------------
+
+# The queries above take 600 characters of a document, as FIXTURES.md and their SQL have it; each is also run over all of its characters.
+for _n in list(QUERIES):
+    QUERIES[f"whole_{_n}"], SQL[f"whole_{_n}"] = whole(QUERIES[_n]), whole_sql(SQL[_n])
