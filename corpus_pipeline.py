@@ -18,10 +18,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates.
+    """Drops a document if one before it stays whose runs of five words are like its own: a Jaccard similarity of 0.8 or more.
 
-    Pairs of words and 6 bits instead of five words: of document pairs whose five-word shingles have a Jaccard similarity of 0.8 or more,
-    fingerprints of five words are 10 bits apart (median), too far for any band to agree; those of word pairs are 5.
+    Candidates come from fingerprints of word pairs at most 6 bits apart and from MinHash bands of five words; the sets of runs
+    decide. Of document pairs of 0.8 or more, fingerprints of five words are 10 bits apart (median), too far for any band to agree; those of word pairs are 5.
     """
     return simhash.keep_one(docs, shingle=2, radius=6)
 

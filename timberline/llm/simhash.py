@@ -8,14 +8,18 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import fresh, partitions, saved, small
+from timberline.llm.common import fresh, partitions, saved, small, text_or_empty
 from timberline.llm.components import connected
 
 #: Fingerprints in one tree at most; fuller buckets are cut finer, then into several trees.
 SHARD = 4096
+#: Bands of MinHash, and hashes in each.
+BANDS, BAND = 12, 4
+#: Texts of a group that are decided at once, and that all others of the group are then held against; and how many others a task takes.
+LEADERS, PART = 256, 2048
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -185,21 +189,143 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` without those that a smaller id is linked to; of rows that repeat an id, one stays.
+def _shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted 64-bit hashes of all runs of ``size`` words; a shorter text is one run. No words: none."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    runs = [b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))] if found else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs)))
 
-    Rows without an id go if their component has an id, and stay otherwise. All columns are kept.
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of at least ``least``; empty sets are equal."""
+    few, many = sorted((len(a), len(b)))
+    if few < least * many:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (few + many - both)
+
+
+_ODD = np.random.default_rng(17).integers(1, 1 << 63, (BANDS * BAND, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    """One number for each band of MinHash: sets of similarity s agree in one with probability s ** BAND."""
+    if not len(shingles):
+        return [0] * BANDS
+    mixed = shingles ^ (shingles >> np.uint64(29))
+    least = np.fromiter((((mixed * a + b) >> np.uint64(20)).min() for a, b in _ODD), np.uint64, len(_ODD)).reshape(BANDS, BAND)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least)]
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, size: int) -> DataFrame:
+    """(id, sig, fp, bands) of every row; ``sig`` is a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, bands = [], []
+            for t in batch.column(2):
+                prints.append(fingerprint(t.as_py(), shingle))
+                bands.append(_bands(_shingles(t.as_py(), size)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["id", "sig", "fp", "bands"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("sig"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, sig long, fp long, bands array<long>")
+
+
+def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(sig, words): the shingles of each of the ``members`` (sig, first), whose text is read from its first id's row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["sig", "words"])
+
+    own = members.select(F.col("sig").alias("_m"), "first")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("sig"), F.col(text_col).alias("text"))
+    rows = rows.join(small(own), (F.col("sig") == F.col("_m")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    return rows.select("sig", "text").mapInArrow(run, "sig long, words binary").groupBy("sig").agg(F.first("words").alias("words"))
+
+
+def _judged(open_: DataFrame, least: float, leaders: int) -> DataFrame:
+    """(root, place key, sig, words) -> (sig, gone) of the leaders of each root, and of those rows that are like a leader that stays.
+
+    A root's leaders are its first ``leaders`` rows. They meet each part of the root's other rows, so a task holds
+    one root's leaders and one row at a time, whatever the root's size.
+    """
+    order = Window.partitionBy("root").orderBy("nameless", "first", "sig")
+    first = saved(open_.drop("words").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= leaders).select("sig", "k"), "leaders")
+    parts = open_.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
+    rows = open_.join(first, "sig", "left").join(parts, "root")
+    own = F.when(F.col("k").isNull(), F.array(F.pmod(F.xxhash64("sig"), F.col("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = rows.withColumn("part", F.explode(own)).select("root", "part", F.coalesce("k", F.lit(leaders + 1)).cast("long").alias("k"), "sig", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stay = None, []
+        for batch in batches:
+            out = []
+            for root, part, k, sig, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != (root, part):
+                    at, stay = (root, part), []
+                mine = np.frombuffer(words, np.uint64)
+                gone = any(similar(mine, other, least) for other in stay)
+                if k <= leaders:
+                    if not gone:
+                        stay.append(mine)
+                    if part == 0:
+                        out.append((sig, gone))
+                elif gone:
+                    out.append((sig, True))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_())], names=["sig", "gone"])
+
+    n = partitions(open_.sparkSession)
+    return dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part", "k").mapInArrow(run, "sig long, gone boolean")
+
+
+def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, size: int = 5, least: float = 0.8, leaders: int = LEADERS) -> tuple[DataFrame, DataFrame]:
+    """(marks, gone): the marks (id, sig) of all rows, and the hashes (sig) of texts that are like one that stays and comes before.
+
+    Texts come in the order of their least ids (none at the end), then of their hashes. A text goes if a candidate before it stays and the sets of their runs of
+    ``size`` words have a Jaccard similarity of ``least`` or more, which is computed from the sets. Candidates are texts
+    that links of fingerprints or shared MinHash bands connect, so a pair of similarity 0.8 is missed by the bands alone
+    once in 600 times.
+    """
+    marks = saved(_marks(docs, id_col, text_col, shingle, size), "marks")
+    nodes = saved(marks.groupBy("sig").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    keys = nodes.select("fp", F.posexplode("bands").alias("band", "value")).distinct()
+    heads = saved(keys.groupBy("band", "value").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).filter("b < top").drop("top"), "bands")
+    shared = keys.join(small(heads), ["band", "value"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    roots = connected(links(nodes.select("fp").distinct(), radius).unionByName(shared))
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("sig", "first", F.coalesce("root", "fp").alias("root"))
+    several = saved(rooted.groupBy("root").count().filter("count > 1").select("root"), "several")
+    members = saved(rooted.join(small(several), "root", "left_semi").withColumn("nameless", F.col("first").isNull()), "members")
+    open_ = saved(members.join(_sets(docs, members, id_col, text_col, size), "sig").select("root", "nameless", "first", "sig", "words"), "sets")
+    gone = marks.select("sig").filter("false")
+    while not open_.isEmpty():
+        judged = saved(_judged(open_, least, leaders), "judged")
+        gone = gone.unionByName(judged.filter("gone").select("sig"))
+        open_ = saved(open_.join(small(judged.select("sig")), "sig", "left_anti"), "open")
+    return marks.select("id", "sig"), saved(gone, "gone")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, size: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those whose text is like one that stays and comes before, see :func:`unlike`.
+
+    Of rows with the same text one stays, that of the smallest id (one without an id only if no other has one). Rows that
+    repeat an id are judged by their own texts. All columns are kept.
     """
-    own = fresh(docs, "_id")
-    groups = saved(near_groups(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias(own), F.col("component_id").alias("_root")), "groups")
-    gone = small(saved(groups.filter(~F.col(own).eqNullSafe(F.col("_root"))).select(own).distinct(), "gone"))
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
-    again = saved(groups.filter(F.col(own).isNotNull()).groupBy(own).count().filter("count > 1").select(own), "again")
+    own, sig = fresh(docs, "_one_id"), fresh(docs, "_one_sig")
+    marks, gone = unlike(docs, id_col, text_col, shingle, radius, size, least)
+    # sorts and joins of few rows: texts with copies, and texts that go
+    counts = marks.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(small(gone).withColumn("gone", F.lit(True)), "sig", "left").filter("gone or n > 1")
+    judged = saved(marks.join(small(saved(counts, "counts")), "sig").select("id", "sig", F.col("gone").isNotNull().alias("gone"), F.col("id").eqNullSafe(F.col("first")).alias("is_first")), "rows")
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty(text_col)) == F.col(sig))
+    named = lambda x: small(saved(x.select(F.col("id").alias(own), F.col("sig").alias(sig)).distinct(), "names"))
+    kept = docs.join(named(judged.filter("gone or not is_first")), same, "left_anti")
+    again = saved(judged.filter("not gone and is_first").groupBy("id", "sig").count().filter("count > 1"), "again")
     if again.isEmpty():
         return kept
-    again = small(again)
-    once = kept.join(again, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, F.col(id_col) == F.col(own), "left_anti").unionByName(once)
+    again, text = named(again), fresh(docs, "_text_sig")
+    once = kept.join(again, same, "left_semi").withColumn(text, F.xxhash64(text_or_empty(text_col))).dropDuplicates([id_col, text]).drop(text)
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
