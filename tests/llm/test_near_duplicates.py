@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from timberline.llm import simhash
+from timberline.llm import exact_dedup, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,12 @@ def test_rounds_of_leaders(spark, monkeypatch):
     gone = {r.sig for r in gone.collect()}
     sigs = {r.id: r.sig for r in simhash._marks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 2, 5).collect()}
     assert sorted(i for i in sigs if sigs[i] not in gone) == plain(rows)
+
+def test_missing_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, a), (2, d), (3, d), (3, e), (3, e)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, size int")
+    got = simhash.keep_one(df).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (3, e)], key=str)
+    exact = exact_dedup.keep_first(df).select("doc_id", "text").collect()
+    assert sorted(map(tuple, exact), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (3, e)], key=str)

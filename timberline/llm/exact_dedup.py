@@ -63,9 +63,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text an earlier id has; of rows that repeat id and text, one stays."""
-    own = fresh(docs, "_kept_id")
-    ids = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(own)).distinct()
-    return docs.dropDuplicates([id_col]).join(ids, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
+    own, own_text, text = fresh(docs, "_kept_id"), fresh(docs, "_kept_text"), fresh(docs, "_text_sha256")
+    digest = F.sha2(normalised(text_col), 256)
+    kept = exact_groups(docs, id_col, text_col, extra={"sha256": digest}).filter("kept")
+    kept = kept.select(F.col(id_col).alias(own), F.col("sha256").alias(own_text)).distinct()
+    rows = docs.withColumn(text, digest).dropDuplicates([id_col, text])
+    return rows.join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(text) == F.col(own_text)), "left_semi").drop(text)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
