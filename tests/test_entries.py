@@ -114,3 +114,45 @@ def test_laws(spark, tmp_path):
 def test_wildcard_may_not_stand_first():
     with pytest.raises(ValueError):
         P.wildcard("*x")
+
+
+def test_places_in_any_zone(spark):
+    """Orders count by their own leading columns, whatever the session's zone calls a day."""
+    from timberline.operators.order import numbered
+
+    e = classify(log_entries(spark, "/root/testdata/sf0.001"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("America/Los_Angeles", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            rows = e.withColumn("date_key", fields.date_key("ts")).select("id", *R.BY_DAY)
+            plain = sorted(rows.collect(), key=lambda r: (r.date_key, r.line_number, r.file_path, r.id))
+            assert {r.id: r["rank"] for r in numbered(rows, *R.BY_DAY, "id").collect()} == {r.id: k + 1 for k, r in enumerate(plain)}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_entries_hold_whole_texts(spark):
+    """Words at the end of long texts are found, and long runs of lines come back from log text as they were."""
+    from timberline.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 600").select("text").collect()}
+    assert len(texts & {r.content for r in QUERIES["stitch_entries"](spark, sf).collect()}) > 0.9 * len(texts)
+
+
+def test_phrases_with_slop(spark):
+    df = analyse(spark.createDataFrame([(1, "red green blue"), (2, "blue x green red"), (3, "red a b c d e f g h green blue"), (4, "red blue"), (5, None), (6, "")], "id long, content string"), ("content",))
+    found = lambda *a, **k: [r.id for r in df.filter(P.phrase(*a, **k)).orderBy("id").collect()]
+    assert found("red green blue") == [1] and found("red green blue", slop=2) == [1] and found("red green blue", slop=5) == [1, 2] and found("red green blue", slop=9) == [1, 2, 3]
+    assert found("the red") == [1, 2, 3, 4] and found("red blue") == [4] and found("the") == []
+
+
+def test_a_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from timberline.sources.store import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))

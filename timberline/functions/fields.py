@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timberline.schema import HEADER
+from timberline.schema import HEADER, HEADER_FIELDS
 
 
 def trimmed(col: Column | str) -> Column:
@@ -18,8 +18,8 @@ def is_header(line: Column | str = "value") -> Column:
     return line.startswith("20") & line.rlike(HEADER)  # the cheap test first
 
 
-def header_part(line: Column | str, group: int) -> Column:
-    return F.regexp_extract(line, HEADER, group)
+def header_part(line: Column | str, field: str) -> Column:
+    return F.regexp_extract(line, HEADER, 1 + list(HEADER_FIELDS).index(field))
 
 
 def parse_timestamp(text: Column | str) -> Column:

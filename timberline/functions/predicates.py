@@ -19,6 +19,15 @@ def _sure(p: Column) -> Column:
     return F.coalesce(p, F.lit(False))
 
 
+def _all(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _bound(value: Column, test) -> Column:
+    """``test`` of a value that is computed once per row, however often the test names it."""
+    return F.exists(F.array(value), test)
+
+
 def term(word: str, field: str = "content") -> Column:
     """The word is in the field. Text fields ignore case; flags don't."""
     return _sure(F.array_contains(_tokens(field), word if field == "flag" else word.lower()))
@@ -32,18 +41,20 @@ def phrase(text: str, field: str = "content", slop: int = 0) -> Column:
     wanted = [(i, w) for i, w in enumerate(words_of(text)) if w is not None]
     if not wanted:
         return F.lit(False)
-    t = _tokens(field)
-    if not slop:
-        first = wanted[0][0]
-        at = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
-        return _sure(F.exists(at, lambda i: reduce(lambda a, b: a & b, [_sure(F.try_element_at(t, (i + (o - first)).cast("int")) == w) for o, w in wanted])))
-    places = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
-
-    def shifts_of(o: int, w: str) -> Column:
-        return F.transform(F.filter(places, lambda i: _sure(F.try_element_at(t, i) == w)), lambda i: i - o)
-
-    shifts = [shifts_of(o, w) for o, w in wanted]
-    return _sure(F.exists(F.concat(*shifts), lambda x: reduce(lambda a, b: a & b, [F.exists(s, lambda y: (y >= x) & (y <= x + slop)) for s in shifts])))
+
+    def places(t: Column, o: int, w: str) -> Column:
+        """Where the word stands, less its place in the text."""
+        return F.transform(F.filter(F.transform(t, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()), lambda i: i - o)
+
+    def apart(shifts: list[Column]) -> Column:
+        return F.exists(F.concat(*shifts), lambda x: _all([F.exists(s, lambda y: (y >= x) & (y <= x + slop)) for s in shifts]))
+
+    def found(t: Column) -> Column:
+        shifts = [places(t, o, w) for o, w in wanted]
+        near = F.size(reduce(F.array_intersect, shifts)) > 0 if not slop else _bound(F.array(*shifts), lambda s: apart([F.get(s, F.lit(k)) for k in range(len(shifts))]))
+        return _all([F.array_contains(t, w) for _, w in wanted]) & near
+
+    return _sure(_bound(_tokens(field), found))
 
 
 def prefix(start: str, field: str = "content") -> Column:

@@ -29,16 +29,27 @@ def analyse(entries: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFr
     return entries.withColumns({f"{f}_tokens": tokens(f) for f in fields})
 
 
+def _slots(field: str) -> Column:
+    """A field's tokens as (field, term, at), places from 1."""
+    tokens = "flags" if field == "flag" else f"{field}_tokens"
+    return F.transform(tokens, lambda x, i: F.struct(F.lit(field).alias("field"), x.alias("term"), (i + 1).alias("at")))
+
+
 def postings(analysed: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
-    """(field, term, id, positions): where each term stands, from 1."""
-    parts = []
-    for f in (*fields, "flag"):
-        source = "flags" if f == "flag" else f"{f}_tokens"
-        parts.append(analysed.select(F.lit(f).alias("field"), "id", F.posexplode(source).alias("at", "term")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.filter("term is not null").groupBy("field", "term", "id").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+    """(field, term, id, positions): where each term stands, from 1.
+
+    One pass over the entries: the slots of all fields are one list. Entries are dealt out by id before the lists are taken apart, so that
+    slots are grouped where they are and only whole entries are shuffled.
+    """
+    slots = [_slots(f) for f in (*fields, "flag")]
+    rows = analysed.select("id", F.concat(*slots).alias("slots")).repartition("id").select("id", F.inline("slots")).filter("term is not null")
+    return rows.groupBy("id", "field", "term").agg(F.sort_array(F.collect_list("at")).alias("positions")).select("field", "term", "id", "positions")
+
+
+def with_term(entries: DataFrame, posted: DataFrame, word: str, field: str = "content") -> DataFrame:
+    """The entries that a table of postings names for a word; their texts aren't looked at. A table that is stored by field and term reads that term's rows only."""
+    ids = posted.filter((F.col("field") == field) & (F.col("term") == (word if field == "flag" else word.lower()))).select("id")
+    return entries.join(ids, "id", "left_semi")
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.operators.order import numbered
+from timberline.sources.store import small
+
 #: fact column -> entry column
 DIMENSIONS = {"file_id": "file_path", "channel_id": "channel", "level_id": "level", "source_id": "source"}
 
 
 def assign_ids(entries: DataFrame, after: int = 0, order: tuple[str, ...] = ("file_path",)) -> DataFrame:
-    """Adds ``id``, from ``after`` + 1 in order of file and line. Rows are numbered within files, and files are set off by their counts."""
-    per_file = entries.groupBy("file_path").agg(F.count("*").alias("n"))
-    ahead = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    per_file = per_file.select("file_path", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) + after).alias("ahead"))  # a row for each file
-    inside = Window.partitionBy("file_path").orderBy("line_number")
-    return entries.withColumn("_n", F.row_number().over(inside)).join(per_file, "file_path").withColumn("id", F.col("ahead") + F.col("_n")).drop("_n", "ahead")
+    """Adds ``id``, from ``after`` + 1 in order of file and line. A long file is numbered by many tasks."""
+    return numbered(entries, *order, "line_number", name="id", after=after)
 
 
 def table_stats(entries: DataFrame) -> DataFrame:
@@ -23,22 +22,22 @@ def table_stats(entries: DataFrame) -> DataFrame:
 
 
 def dimension(entries: DataFrame, column: str) -> DataFrame:
-    """(id, value): different values numbered in the order in which they first come. The window sees one row for each value."""
+    """(id, value): different values numbered in the order in which they first come; a written table."""
     first = entries.groupBy(F.col(column).alias("value")).agg(F.min("id").alias("first"))
-    return first.select(F.row_number().over(Window.orderBy("first")).cast("long").alias("id"), "value")
+    return numbered(first, "first", name="id").select("id", "value")
 
 
 def encode_fact(entries: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Entries with ids in place of the dimensions' values."""
+    """Entries with ids in place of the dimensions' values. Dimensions are broadcast while they are few rows, so that no value's entries meet in one task."""
     for key, column in DIMENSIONS.items():
-        entries = entries.join(dims[key].select(F.col("id").alias(key), F.col("value").alias(column)), column)
+        entries = entries.join(small(dims[key].select(F.col("id").alias(key), F.col("value").alias(column))), column)
     return entries.select("id", "line_number", "file_id", "ts", "channel_id", "elapsed_ms", "level_id", "source_id", "content", F.array_join("flags", " ").alias("flags"))
 
 
 def decode_fact(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """The star join: facts with their dimensions' values."""
+    """The star join: facts with their dimensions' values; broadcasts as in :func:`encode_fact`."""
     for key, column in DIMENSIONS.items():
-        fact = fact.join(dims[key].select(F.col("id").alias(key), F.col("value").alias(column)), key)
+        fact = fact.join(small(dims[key].select(F.col("id").alias(key), F.col("value").alias(column))), key)
     return fact.drop(*DIMENSIONS)
 
 

@@ -27,7 +27,7 @@ def stitch(lines: DataFrame, newline: str = "\n") -> DataFrame:
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*key, F.max("last").over(before).alias("before"), F.min("first").over(Window.partitionBy("file_path")).alias("first"))
     rows = own.join(blocks, key).withColumn("entry", F.coalesce("own", "before", "first")).filter("entry is not null")
-    text = F.when(F.col("is_header"), header_part("value", 6)).otherwise(F.col("value"))
+    text = F.when(F.col("is_header"), header_part("value", "content")).otherwise(F.col("value"))
     parts = F.array_sort(F.collect_list(F.struct("line_number", text.alias("text"))))
     return rows.groupBy("file_path", "file_name", "entry").agg(
         F.max(F.when(F.col("line_number") == F.col("entry"), F.col("value"))).alias("header"),
@@ -37,10 +37,10 @@ def stitch(lines: DataFrame, newline: str = "\n") -> DataFrame:
 
 def parse_fields(stitched: DataFrame) -> DataFrame:
     """The fields of the header; ``ts`` and ``elapsed_ms`` are null where they can't be read."""
-    part = lambda i: header_part("header", i)
+    part = lambda field: header_part("header", field)
     return stitched.select(
-        "file_path", "file_name", "line_number", parse_timestamp(part(1)).alias("ts"), trimmed(part(2)).alias("channel"),
-        parse_elapsed(part(3)).alias("elapsed_ms"), trimmed(part(4)).alias("level"), trimmed(part(5)).alias("source"), "content", "header",
+        "file_path", "file_name", "line_number", parse_timestamp(part("time")).alias("ts"), trimmed(part("channel")).alias("channel"),
+        parse_elapsed(part("elapsed")).alias("elapsed_ms"), trimmed(part("level")).alias("level"), trimmed(part("source")).alias("source"), "content", "header",
     )
 
 

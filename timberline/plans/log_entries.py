@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +11,13 @@ from timberline.operators.classify import classify
 from timberline.operators.entries import parse, quarantine
 from timberline.sources.scan import number_lines, scan_dir, with_provenance
 from timberline.sources.sinks import write_by
-
-#: Characters of a document that an entry takes as its content: as many as ``ENTRIES_SQL`` does, or all (None) within :func:`whole`.
-_TAKEN: ContextVar[int | None] = ContextVar("taken", default=600)
-
+from timberline.sources.store import workspace
 
 def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, file_path, file_name, ts, channel, elapsed_ms, level, source, content, line_number."""
+    """id, file_path, file_name, ts, channel, elapsed_ms, level, source, content, line_number. Contents are whole texts of documents."""
     e, d = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n, taken = d.count(), _TAKEN.get()
-    docs = d.select("doc_id", F.rtrim(F.col("text") if taken is None else F.substring("text", 1, taken), F.lit(" \n\t")).alias("body"))
+    n = d.count()
+    docs = d.select("doc_id", F.rtrim("text", F.lit(" \n\t")).alias("body"))
     i, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     rows = e.join(docs, i % n == F.col("doc_id"))
     job = F.when(user % 3 == 0, F.concat(F.lit("job-"), F.md5(user.cast("string").cast("binary")), F.lit("/"))).otherwise("")
@@ -59,12 +51,6 @@ def analysed(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     return analyse(flagged(spark, sf_dir), fields or ("content",))
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir`` where that is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="timberline-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def rendered(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the entries as log text, one file for each ``file_path``."""
     at = workspace(spark, "logs")
@@ -95,7 +81,7 @@ def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTRIES_SQL = r"""
-docs AS (SELECT doc_id, rtrim(substr(text,1,600), E' \n\t') AS body FROM documents),
+docs AS (SELECT doc_id, rtrim(text, E' \n\t') AS body FROM documents),
 n AS (SELECT count(*) AS n FROM documents),
 base AS (
  SELECT e.event_id + 1 AS id,
@@ -140,21 +126,3 @@ FLAG_LIST_SQL = "list_filter([" + ", ".join(f"CASE WHEN {p} THEN '{f}' END" for
 def sql(select: str, *more: str) -> str:
     """``select`` over ``log_entries`` (and over ``flagged``, which adds the list ``flags``)."""
     return f"WITH {ENTRIES_SQL}, flagged AS (SELECT *, {FLAG_LIST_SQL} AS flags FROM log_entries){''.join(', ' + m for m in more)} {select}"
-
-
-def whole(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """``build`` over entries that hold whole texts of documents."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        held = _TAKEN.set(None)
-        try:
-            return build(spark, sf_dir)
-        finally:
-            _TAKEN.reset(held)
-
-    return run
-
-
-def whole_sql(oracle: str) -> str:
-    """The SQL of a query, over entries that hold whole texts of documents."""
-    return oracle.replace("substr(text,1,600)", "text")

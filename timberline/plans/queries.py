@@ -14,9 +14,12 @@ from timberline.operators import classify as C
 from timberline.operators import dims as D
 from timberline.operators import entries as E
 from timberline.operators import review as R
-from timberline.plans.log_entries import FLAGS_SQL, analysed, flagged, loaded, log_entries, original_path, parsed, rendered, scanned, sql, whole, whole_sql, workspace
+from timberline.operators.order import numbered
+from timberline.plans.log_entries import FLAGS_SQL, analysed, flagged, loaded, log_entries, original_path, parsed, rendered, scanned, sql
 from timberline.schema import STOP_WORDS, TOKEN
 from timberline.sources import scan, sinks
+from timberline.sources.store import workspace
+
 
 def ms() -> Column:
     return F.unix_millis("ts").alias("ts_ms")
@@ -47,9 +50,9 @@ _LINES = (
 
 @query(sql("SELECT file_path, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM lines GROUP BY file_path", _LINES))
 def scan_files(spark, sf):
-    """A list of paths; empty files among them give no lines."""
-    folders = [r[0] for r in scan.scan_dir(spark, rendered(spark, sf), "part-*").select("file_path").distinct().collect()]  # file names, as a user would give them
-    lines = scan.with_provenance(scan.scan_files(spark, folders)).withColumn("file_path", original_path(F.col("file_path")))
+    """A list of paths, with patterns; empty files among them give no lines."""
+    at = rendered(spark, sf)
+    lines = scan.with_provenance(scan.scan_files(spark, [f"{at}/dir=main/*/part-*", f"{at}/dir=job-*/*/part-*"])).withColumn("file_path", original_path(F.col("file_path")))
     return lines.groupBy("file_path").agg(F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
 
 
@@ -276,21 +279,11 @@ def fetch_by_ids(spark, sf):
     return _ranked(D.fetch_by_ids(log_entries(spark, sf), [3, 14, 15, 92, 65, 35]), "ts", "line_number", "id").select("id", ms(), F.col("rank").cast("long").alias("rank"))
 
 
-def in_order(df: DataFrame, *by: str) -> DataFrame:
-    """(rows of ``df``, rank): the place of each row in the order, without one task for all: places within days, and counts of the days before."""
-    day = F.floor(F.unix_millis("ts") / 86_400_000)
-    rows = df.withColumn("_day", day)
-    counts = rows.groupBy("_day").agg(F.count("*").alias("_n"))
-    counts = counts.select("_day", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_day").orderBy(*by)))
-    return numbered.join(counts, "_day").withColumn("rank", F.col("_before") + F.col("_in")).drop("_day", "_before", "_in")
-
-
 @query(sql("SELECT id, row_number() OVER (ORDER BY ts_ms, line_number, id) AS rank FROM log_entries WHERE id IN (SELECT id FROM log_entries WHERE lower(level) = 'error')"))
 def sort_id_set(spark, sf):
     e = log_entries(spark, sf)
     ids = e.filter(F.lower("level") == "error").select("id")
-    return in_order(D.fetch_by_ids(e, ids), "ts", "line_number", "id").select("id", "rank")
+    return numbered(D.fetch_by_ids(e, ids).select("id", "ts", "line_number"), "ts", "line_number", "id").select("id", "rank")
 
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
@@ -330,6 +323,13 @@ def postings(spark, sf):
     return posted.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("n"), F.min(F.array_min("positions")).cast("long").alias("first_pos"))
 
 
+@query(sql(
+    "SELECT field, term, count(DISTINCT id) AS df FROM (SELECT 'level' AS field, id, unnest(t) AS term FROM tok UNION ALL SELECT 'flag', id, unnest(flags) FROM flagged) WHERE term IS NOT NULL GROUP BY field, term",
+    f"tok AS (SELECT id, {_tokens_sql('level')} AS t FROM log_entries)"))
+def document_frequency(spark, sf):
+    return text.document_frequency(text.postings(analysed(spark, sf, "level"), ("level",)))
+
+
 # --- search ----------------------------------------------------------------------------------------------------------
 
 
@@ -356,7 +356,6 @@ _ERRORS = f"(lower(level) = 'error' OR {_HAS('error')} OR {_HAS('exception')})"
 search("search_term", lambda: P.term("worker_log", "flag") & P.term("ERROR", "level"), "list_contains(flags, 'worker_log') AND list_contains(level_tokens, 'error')", "level")
 search("search_default_field", lambda: P.term("exception"), _HAS("exception"))
 search("search_phrase", lambda: P.phrase("state from Pending"), _at({0: "state", 2: "pending"}))
-search("search_phrase_slop", lambda: P.phrase("pending state", slop=4), "len(list_filter(range(1, len(content_tokens) + 1), lambda i: content_tokens[i] = 'state' AND len(list_filter(range(1, len(content_tokens) + 1), lambda j: content_tokens[j] = 'pending' AND abs(j + 1 - i) <= 4)) > 0)) > 0")
 search("search_prefix", lambda: P.prefix("Excep"), _any("starts_with(x, 'excep')"))
 search("search_wildcard", lambda: P.wildcard("ex?ep*n"), _any("regexp_matches(x, '^ex.ep.*n$')"))
 search("search_fuzzy", lambda: P.fuzzy("exceptoin", least=0.7), _any("1 - levenshtein(x, 'exceptoin') / least(length(x), 9)::DOUBLE > 0.7"))
@@ -370,6 +369,35 @@ search("search_only_negated", lambda: ~P.term("exception") & ~P.term("vendor_pac
 search("search_all", P.everything, "true")
 
 
+
+def _slop_sql(words: dict[str, int], slop: int) -> str:
+    """Entries with a place such that every word's place, less its own in the phrase, is at most ``slop`` after it."""
+    shift = "pos - CASE w " + " ".join(f"WHEN '{w}' THEN {o}" for w, o in words.items()) + " END"
+    hits = f"SELECT id, w, {shift} AS s FROM (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM tok) WHERE w IN ({', '.join(map(repr, words))})"
+    return f"WITH hits AS ({hits}) SELECT DISTINCT id FROM (SELECT a.id, a.s FROM hits a JOIN hits b ON a.id = b.id AND b.s BETWEEN a.s AND a.s + {slop} GROUP BY a.id, a.s HAVING count(DISTINCT b.w) = {len(words)})"
+
+
+_TOK_CONTENT = f"tok AS (SELECT id, {_tokens_sql('content')} AS t FROM log_entries)"
+
+
+@query(sql(f"SELECT id FROM ({_slop_sql({'pending': 0, 'state': 1}, 4)})", _TOK_CONTENT))
+def search_phrase_slop(spark, sf):
+    return analysed(spark, sf).filter(P.phrase("pending state", slop=4)).select("id")
+
+
+@query(sql(f"SELECT id FROM ({_slop_sql({'running': 0, 'state': 1, 'changing': 2}, 6)})", _TOK_CONTENT))
+def search_phrase_slop_of_three(spark, sf):
+    return analysed(spark, sf).filter(P.phrase("running state changing", slop=6)).select("id")
+
+
+@query(sql(f"SELECT id FROM tok WHERE list_contains(t, 'exception')", _TOK_CONTENT))
+def search_postings(spark, sf):
+    """A word looked up in the stored table of postings."""
+    at, found = workspace(spark, "postings"), analysed(spark, sf)
+    text.postings(found, ("content",)).write.parquet(at)
+    return text.with_term(found, spark.read.parquet(at), "Exception").select("id")
+
+
 @query(sql(f"SELECT id FROM (SELECT * FROM found WHERE {_HAS('exception')} OR {_HAS('state')}) WHERE lower(level) = 'error'", f"found AS (SELECT *, {_tokens_sql('content')} AS content_tokens FROM flagged)"))
 def search_group(spark, sf):
     """A search within the hits of another."""
@@ -381,18 +409,18 @@ def search_group(spark, sf):
 
 @query(sql("SELECT id, row_number() OVER (ORDER BY date_key, line_number, file_path, id) AS rank FROM flagged WHERE list_contains(flags, 'worker_log')"))
 def order_hits(spark, sf):
-    hits = R.order_hits(flagged(spark, sf).filter(P.term("worker_log", "flag")))
-    return in_order(hits, "date_key", "line_number", "file_path", "id").select("id", "rank")
+    hits = flagged(spark, sf).filter(P.term("worker_log", "flag"))
+    return numbered(hits.select("id", *R.BY_DAY), *R.BY_DAY, "id").select("id", "rank")
 
 
 @query(sql("SELECT id, row_number() OVER (ORDER BY ts_ms, file_path, line_number) AS rank FROM log_entries"))
 def order_chrono(spark, sf):
-    return in_order(R.order_chrono(log_entries(spark, sf)), *R.CHRONO).select("id", "rank")
+    return numbered(log_entries(spark, sf).select("id", *R.CHRONO), *R.CHRONO).select("id", "rank")
 
 
 @query(sql("SELECT id, row_number() OVER (ORDER BY ts_ms, id) AS rank FROM log_entries"))
 def ids_by_time(spark, sf):
-    return in_order(log_entries(spark, sf).select("id", "ts"), "ts", "id").select("id", "rank")
+    return numbered(log_entries(spark, sf).select("id", "ts"), "ts", "id").select("id", "rank")
 
 
 @query(sql("SELECT id, k - 400 AS place FROM (SELECT id, row_number() OVER (ORDER BY ts_ms, file_path, line_number) AS k FROM log_entries) WHERE k BETWEEN 401 AND 600"))
@@ -453,19 +481,21 @@ def write_entries(spark, sf):
 _BY_FILE = "SELECT file_path, line_number, {} + row_number() OVER (ORDER BY file_path, line_number) AS id FROM log_entries WHERE {}"
 
 
-@query(sql(_BY_FILE.format(0, "level = 'WARN'")))
+@query(sql(_BY_FILE.format(0, "true")))
 def load_replace(spark, sf):
+    """A load of one level, then a load of all entries in its place."""
     at, e = workspace(spark, "store"), flagged(spark, sf).drop("id")
     sinks.load_replace(e.filter("level = 'INFO'"), at)
-    sinks.load_replace(e.filter("level = 'WARN'"), at)
+    sinks.load_replace(e, at)
     return scan.read_entries(spark, at).select("file_path", "line_number", "id")
 
 
-@query(sql(_BY_FILE.format(0, "level = 'INFO'") + " UNION ALL " + _BY_FILE.format("(SELECT count(*) FROM log_entries WHERE level = 'INFO')", "level = 'WARN'")))
+@query(sql(_BY_FILE.format(0, "level = 'INFO'") + " UNION ALL " + _BY_FILE.format("(SELECT count(*) FROM log_entries WHERE level = 'INFO')", "level <> 'INFO'")))
 def load_append(spark, sf):
+    """A load of one level, then a load of all other entries after it."""
     at, e = workspace(spark, "store"), flagged(spark, sf).drop("id")
     sinks.load_replace(e.filter("level = 'INFO'"), at)
-    sinks.load_append(spark, e.filter("level = 'WARN'"), at)
+    sinks.load_append(spark, e.filter("level <> 'INFO'"), at)
     return scan.read_entries(spark, at).select("file_path", "line_number", "id")
 
 
@@ -482,7 +512,7 @@ _SAVED_SQL = [_ERRORS, "list_contains(flags, 'worker_log') AND lower(level) = 'e
 
 @query(sql(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({w}) AS hits, {_LEVELS_SQL.replace('{p}', f'({w})')} FROM found" for (n, _), w in zip(SAVED, _SAVED_SQL, strict=True)), _FOUND))
 def saved_counts(spark, sf):
-    return R.saved_counts(analysed(spark, sf), SAVED)
+    return R.saved_counts(analysed(spark, sf), R.saved_filters(spark, SAVED))
 
 
 @query(sql(f"SELECT id FROM found WHERE list_contains(flags, 'worker_log') AND {_ERRORS}", _FOUND))
@@ -499,11 +529,4 @@ def general_errors(spark, sf):
 def worker_errors(spark, sf):
     """From log text on disk: worker-log entries of level error, in chronological order over all files."""
     hits = loaded(spark, sf).filter(P.term("worker_log", "flag") & (F.lower("level") == "error"))
-    return in_order(R.order_chrono(hits), *R.CHRONO).select("file_path", "line_number", ms(), "level", "rank")
-
-
-# --- whole texts -----------------------------------------------------------------------------------------------------
-
-# The queries above take 600 characters of a document, as FIXTURES.md and their SQL have it; each is also run over all of its characters.
-for _n in list(QUERIES):
-    QUERIES[f"whole_{_n}"], SQL[f"whole_{_n}"] = whole(QUERIES[_n]), whole_sql(SQL[_n])
+    return numbered(hits.select(*R.CHRONO, "level"), *R.CHRONO).select("file_path", "line_number", ms(), "level", "rank")

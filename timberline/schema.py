@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, TimestampType
 
-#: Date, offset, [channel], elapsed, level, source, content. Any case; a channel may hold brackets, a source no hyphen.
-HEADER = r"(?isd)^(20\d{2}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+\s+[+\-]?\d{4})\s+\[([^\\]+)\]\s(\d+)\s(TRACE|DEBUG|INFO|WARN|ERROR)\s+([^\-]+)\s-\s(.*)$"
+LEVELS = ("INFO", "WARN", "ERROR", "DEBUG", "TRACE")
+
+#: The fields of a header line in their order: what each may hold, and what follows it.
+HEADER_FIELDS = {
+    "time": (r"20\d\d(?:-\d\d){2} \d\d(?::\d\d){2}[.]\d+\s+[-+]?\d\d\d\d", r"\s+\["),
+    "channel": (r"[^\\]+", r"\]\s"),  # to the last bracket after which the rest still fits
+    "elapsed": (r"\d+", r"\s"),
+    "level": ("|".join(LEVELS), r"\s+"),
+    "source": (r"[^-]+", r"\s-\s"),
+    "content": (".*", "$"),
+}
+#: A header line, any case; one group for each field. Only a line feed ends a line.
+HEADER = "(?isd)^" + "".join(f"({held}){then}" for held, then in HEADER_FIELDS.values())
 
 #: Words with apostrophes, hosts and addresses, numbers with signs inside.
 TOKEN = r"[\p{L}\p{N}]+(?:'\p{L}+|[.@][\p{L}\p{N}]+|[-_/,][\p{L}]*\p{N}[\p{L}\p{N}]*)*"
@@ -16,8 +27,6 @@ STOP_WORDS = (
     "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
 )
 
-LEVELS = ("INFO", "WARN", "ERROR", "DEBUG", "TRACE")
-
 ENTRY = StructType(
     [
         StructField("id", LongType()),

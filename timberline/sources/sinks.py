@@ -16,8 +16,8 @@ def export_log(entries: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def write_entries(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Writes an entry table, partitioned by day; each day's rows come from few tasks, so files stay large."""
-    entries.repartition("date_key").write.mode(mode).partitionBy("date_key").parquet(path)
+    """Writes an entry table, partitioned by day. Tasks take ranges of time, so a long day has many writers and a short one few."""
+    entries.repartitionByRange("date_key", "ts").write.mode(mode).partitionBy("date_key").parquet(path)
 
 
 def load_replace(entries: DataFrame, path: str) -> None:
