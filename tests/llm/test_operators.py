@@ -335,10 +335,35 @@ def test_repeats_odd(odd, none):
     assert repeats.without_repeats(none).count() == 0
 
 
+def plain_starts(data, length):
+    """Places of the strings (each ended by a byte 255) that begin ``length`` bytes that begin elsewhere too."""
+    at = [i for i in range(len(data) - length + 1) if 255 not in data[i : i + length]]
+    seen = Counter(data[i : i + length] for i in at)
+    return [i for i in at if seen[data[i : i + length]] > 1]
+
+
 def test_merge_of_shards():
-    shards = [np.frombuffer(s, np.uint8) for s in (b"abcabc\xffxabc\xff", b"zzabcd\xff")]
-    found = repeats.merge(shards, 3)
-    assert np.flatnonzero(found).tolist() == [0, 3, 8, 14]
+    shards = [b"abcabc\xffxabc\xff", b"zzabcd\xff"]
+    data, shard = np.frombuffer(b"".join(shards), np.uint8), np.repeat([0, 1], [len(s) for s in shards])
+    assert np.flatnonzero(repeats.merge(data, shard, 3)).tolist() == [0, 3, 8, 14]
+
+
+@pytest.mark.parametrize("length", [1, 3, 4, 5, 8, 13, 40])
+def test_merge_against_plain(length):
+    rng = random.Random(length)
+    for n in (1, 2, 5):
+        base = "".join(rng.choice("ab") for _ in range(300)).encode()
+        shards = []
+        for _ in range(n):
+            cuts = [(a, a + rng.randrange(2 * length + 3)) for a in (rng.randrange(300) for _ in range(12))]
+            shards.append(b"".join(base[a:b].replace(b"aba", rng.choice([b"aba", b"c"])) + b"\xff" for a, b in cuts))
+        data, shard = np.frombuffer(b"".join(shards), np.uint8), np.repeat(np.arange(n), [len(s) for s in shards])
+        assert np.flatnonzero(repeats.merge(data, shard, length)).tolist() == plain_starts(data.tobytes(), length)
+
+
+def test_large_groups_are_dealt_out_by_string(docs, texts):
+    expected = sorted(plain_removal([t.encode() for t in texts.values()], 50))
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(docs, 50, most=2).collect()) == expected
 
 
 # --- 7 ---
