@@ -175,7 +175,7 @@ def test_warc_odd(spark, tmp_path):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(3)
-    for kind in (lambda n: np.minimum(rng.pareto(0.7, n) * 9, 65_535), lambda n: rng.integers(0, 65_536, n), lambda n: np.full(n, 7), lambda n: np.arange(n) % 5):
+    for kind in (lambda n: np.minimum(rng.pareto(0.7, n) * 9, 65_534), lambda n: rng.integers(0, 65_535, n), lambda n: np.full(n, 7), lambda n: np.arange(n) % 5):
         blocks = [kind(n).astype(np.uint32) for n in (900, 900, 513, 40, 1)]
         prior = range_coder.Prior.of(np.concatenate(blocks))
         coded, read = range_coder.encode(blocks, prior), range_coder.Prior.unpack(prior.pack())
@@ -195,7 +195,7 @@ def test_segments_are_checked():
 def test_encoder_by_word():
     encode = token_output.Encoder()
     assert encode.by_word
-    texts = ["it's 12 o'clock    x", " lead", "tail ", "a\tb c", "😀 x ñ  ", "x \u3000y", "a \n b", "x  y", "", "plain words, and more."]
+    texts = ["it's 12 o'clock    x", " lead", "tail ", "a\tb c", "😀 x ñ  ", "x \u3000y", "a \n b", "x  y", "", "plain words, and more.", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext |> c"]
     for t, ids in zip(texts, encode(texts), strict=True):
         assert ids.tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
 

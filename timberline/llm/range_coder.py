@@ -1,13 +1,14 @@
 """An adaptive context-mixing range coder for token ids, over many blocks at once.
 
 Four predictors say what the next id may be: order 2 names the id that last followed the same two ids, order 1 the last two
-different ones that followed the same id, and order 0 gives every id of the segment its share there, a table in the segment's head. Their
+different ones that followed the same id, and order 0 counts ids: frequent ids each for themselves, others in classes of neighbouring ids, whose members
+share by a table in the segment's head; that table also says where a block's counts start. All counts go up with what comes. The orders'
 predictions are mixed with weights that each block learns, apart for how often orders 1 and 2 were right of late: a weight grows as its
 predictor gave what came more than the mix did. The id is coded by its share of the mix, in a 64-bit range without
 carries: a range that lies across a border for too long is cut down to end at it. An id takes one step, since only the named
 ids and sums of order 0 are looked at.
 
-Every block is coded for itself: its predictors and weights start afresh, so blocks are read in any order. Numpy works on one id of each
+Every block is coded for itself: its counts, predictors and weights start afresh, so blocks are read in any order. Numpy works on one id of each
 block (a lane) at a time. All steps are single IEEE or integer operations per lane, so the reader repeats the writer's
 numbers on any machine.
 """
@@ -20,63 +21,101 @@ import numpy as np
 
 #: Contexts of an order that a block tells apart, as a power of two.
 SLOT_BITS = 10
-#: The table of order 0 sums to 2^SHARE_BITS, the weights of a mix to 2^WEIGHT_BITS.
-SHARE_BITS, WEIGHT_BITS = 20, 9
+#: Classes of order 0 at most. Their shares sum to 2^CLASS_BITS, those of a class's members to 2^MEMBER_BITS, and the weights of a mix to 2^WEIGHT_BITS.
+CLASSES, CLASS_BITS, MEMBER_BITS, WEIGHT_BITS = 256, 12, 11, 8
+#: What a block's counts of all classes sum to at its start; an id counts one more.
+START = 1024
 RATE = np.float32(0.03)
 
 _SLOTS, _SHIFT = 1 << SLOT_BITS, np.uint32(32 - SLOT_BITS)
-_UNIT, _WHOLE = 1 << SHARE_BITS, 1 << WEIGHT_BITS
+SHARE_BITS = CLASS_BITS + MEMBER_BITS
+_UNIT, _WHOLE, _MEMBERS = 1 << SHARE_BITS, 1 << WEIGHT_BITS, 1 << MEMBER_BITS
+#: Stands for no id; ids are smaller.
+NONE = 0xFFFF
 _TOTAL_BITS = np.uint64(SHARE_BITS + WEIGHT_BITS)
 _K1, _K2, _K3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _TOP, _BOTTOM, _16 = np.uint64(1 << 48), np.uint64((1 << 32) - 1), np.uint64(16)
 
 
+def _shared(counts: np.ndarray, total: int) -> np.ndarray:
+    """Whole numbers in about the proportion of the counts, at least one each, that sum to ``total``."""
+    shares = 1 + counts * (total - len(counts)) // max(1, int(counts.sum()))
+    shares[shares.argmax()] += total - shares.sum()
+    return shares
+
+
 class Prior:
-    """Shares of ids, at least one unit for each id that occurs, and sums before them."""
+    """What a segment's head says of its ids: which occur, their classes, the classes' counts at a block's start, and shares within classes."""
 
-    def __init__(self, shares: np.ndarray):
-        self.shares = shares.astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(self.shares)])
-        self.present = np.flatnonzero(self.shares)
-        self.ends = self.before[self.present + 1]
+    def __init__(self, present: np.ndarray, counts: np.ndarray):
+        """``counts`` are of the ids ``present``, which ascend; any numbers of about their proportion, at least one."""
+        self.present, self.counts = present.astype(np.int64), counts.astype(np.int64)
+        # a class ends where it would get too heavy or too large
+        heavy = np.cumsum(self.counts) * (CLASSES // 2) // max(1, int(self.counts.sum()))
+        cut = np.ones(len(present), bool)
+        cut[1:] = heavy[1:] != heavy[:-1]
+        large = np.zeros(len(present), bool)
+        if cut.sum() < CLASSES:  # the rest of the classes go to the largest
+            spare = CLASSES - int(cut.sum())
+            large[:: max(1, -(-len(present) // spare))] = True
+        cut |= large
+        first = np.flatnonzero(cut)
+        sizes = np.diff(np.append(first, len(present)))
+        if len(sizes) and sizes.max() > _MEMBERS // 2:
+            raise ValueError("too many different ids")
+        self.size = len(first)
+        self.start = _shared(np.add.reduceat(self.counts, first), START) if self.size else np.zeros(0, np.int64)
+        self.ahead = np.concatenate([[0], np.cumsum(self.start)])
+        self.first = np.append(first, len(present))
+        member = np.concatenate([np.zeros(0, np.int64), *[_shared(self.counts[i:j], _MEMBERS) for i, j in zip(self.first[:-1], self.first[1:])]])
+        self.ends = np.cumsum(member)  # over all classes
+        top = int(present[-1]) + 1 if len(present) else 1
+        self.group, self.share, self.before = np.zeros(top, np.int32), np.zeros(top, np.int64), np.zeros(top, np.int64)
+        self.group[self.present] = np.repeat(np.arange(self.size), sizes)
+        self.share[self.present] = member
+        self.before[self.present] = self.ends - member - (np.repeat(np.arange(self.size), sizes) << MEMBER_BITS)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Prior:
-        counts = np.bincount(ids, minlength=1).astype(np.int64)
-        seen = counts > 0
-        shares = np.where(seen, 1 + counts * (_UNIT - int(seen.sum())) // max(1, len(ids)), 0)
-        shares[shares.argmax()] += _UNIT - shares.sum()
-        return cls(shares)
+        counts = np.bincount(ids, minlength=1)
+        present = np.flatnonzero(counts)
+        return cls(present, np.minimum(counts[present], 0xFFFFFFFF))
 
-    def at(self, x: np.ndarray) -> np.ndarray:
-        """The ids in whose shares the numbers fall."""
-        return self.present[np.minimum(np.searchsorted(self.ends, x, side="right"), len(self.present) - 1)]
+    def member(self, group: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The ids of the classes in whose shares the numbers fall."""
+        return self.present[np.minimum(np.searchsorted(self.ends, (group << MEMBER_BITS) + x, side="right"), len(self.present) - 1)]
 
     def pack(self) -> bytes:
-        table = np.stack([np.diff(self.present, prepend=0), self.shares[self.present]]).astype("<u4")
+        table = np.stack([np.diff(self.present, prepend=0), self.counts]).astype("<u4")
         return zlib.compress(table.tobytes(), 6)
 
     @classmethod
     def unpack(cls, data: bytes) -> Prior:
-        gaps, found = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1).astype(np.int64)
-        present = np.cumsum(gaps)
-        shares = np.zeros(int(present[-1]) + 1, np.int64)
-        shares[present] = found
-        return cls(shares)
+        gaps, counts = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1).astype(np.int64)
+        return cls(np.cumsum(gaps), counts)
 
 
 class _Model:
-    """The adaptive part, for all lanes: named ids by slot (-1 for none), how often they were right, and weights."""
+    """The adaptive part, for all lanes: counts of classes, named ids by slot, how often they were right, and weights."""
 
-    def __init__(self, lanes: int, prior: Prior):
+    def __init__(self, lanes: int, longest: int, prior: Prior):
         self.prior = prior
-        self.named = np.full((3, lanes * _SLOTS), -1, np.int32)  # order 2, order 1, order 1 before that
+        self.sums = np.tile(prior.ahead.astype(np.int16 if longest + START < 1 << 15 else np.int32), (lanes, 1))  # counts of the classes before
+        self.flat, self.wide, self.steps = self.sums.reshape(-1), len(prior.ahead), np.arange(len(prior.ahead), dtype=np.int16)
+        self.every, self.next16 = np.arange(0, self.wide, 16, dtype=np.int32), np.arange(17)
+        self.total = START
+        self.named = np.full((3, lanes * _SLOTS), NONE, np.uint16)  # order 2, order 1, order 1 before that
         self.right = np.zeros((2, lanes * _SLOTS), np.uint8)
-        self.weights = np.empty((4, lanes * 16), np.float32)
-        self.weights[:] = np.array([0.4, 0.3, 0.15, 0.15], np.float32)[:, None]
+        self.weights = np.empty((lanes * 16, 4), np.float32)
+        self.weights[:] = np.array([0.4, 0.3, 0.15, 0.15], np.float32)
         self.lane = np.arange(lanes)
         self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
+    def classes(self, m: int, group: np.ndarray) -> np.ndarray:
+        """Where the class's share of order 0 begins, in each lane; every class has at least one unit."""
+        before = self.flat.take(self.lane[:m] * self.wide + group).astype(np.int64)
+        return group + before * ((1 << CLASS_BITS) - self.prior.size) // self.total
+
     def predict(self, m: int) -> None:
         """Sets ``ids`` (3 rows of named ids) and the whole-number weights ``q`` of them and ``q0`` of order 0."""
         one, base = (self.one[:m] + np.uint32(1)) * _K1, self.lane[:m] * _SLOTS
@@ -85,38 +124,57 @@ class _Model:
         self.ids = np.stack([self.named[0].take(self.slot2), self.named[1].take(self.slot1), self.named[2].take(self.slot1)]).astype(np.int64)
         self.right2, self.right1 = self.right[0].take(self.slot2), self.right[1].take(self.slot1)
         self.set = self.lane[:m] * 16 + (self.right1 * 4 + self.right2)
-        self.w = self.weights.take(self.set, axis=1)
+        self.w = self.weights.take(self.set, axis=0).T.copy()
         self.q = (self.w[1:] * np.float32(_WHOLE - 16)).astype(np.int64) + 1
-        self.q[self.ids < 0] = 0
+        self.q *= self.ids != NONE
         self.q0 = _WHOLE - self.q.sum(axis=0)
 
+    def order0(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of each lane's id begins in order 0, and how wide it is."""
+        group = self.prior.group.take(own)
+        begin = self.classes(len(own), group)
+        width = self.classes(len(own), group + 1) - begin
+        return (begin << MEMBER_BITS) + width * self.prior.before.take(own), width * self.prior.share.take(own)
+
     def interval(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the share of each lane's id begins in the mix, and how wide it is."""
         self.hit = self.ids == own
-        self.share = self.prior.shares.take(own)
+        before, self.share = self.order0(own)
         self.given = (self.q * self.hit).sum(axis=0)
-        begin = self.q0 * self.prior.before.take(own) + ((self.q * (self.ids < own)).sum(axis=0) << SHARE_BITS)
+        begin = self.q0 * before + ((self.q * (self.ids < own)).sum(axis=0) << SHARE_BITS)
         return begin.astype(np.uint64), (self.q0 * self.share + (self.given << SHARE_BITS)).astype(np.uint64)
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """The id in whose share of the mix each number falls."""
-        a, b, c = self.ids  # b and c differ unless both are -1
-        q = self.q
-        less = {(0, 1): a < b, (0, 2): a < c, (1, 2): b < c}
-        same = {(0, 1): a == b, (0, 2): a == c}
-        after = lambda i, j: ~(less[i, j] | same[i, j]) if (i, j) in same else ~less[i, j]
-        ahead = (q[1] * after(0, 1) + q[2] * after(0, 2), q[0] * less[0, 1] + q[2] * after(1, 2), q[0] * less[0, 2] + q[1] * less[1, 2])
-        own = (q[0] + q[1] * same[0, 1] + q[2] * same[0, 2], q[1] + q[0] * same[0, 1], q[2] + q[0] * same[0, 2])
+        ids, q = self.ids, self.q
         out, below = np.full(len(v), -1), np.zeros(len(v), np.int64)
         for k in range(3):
-            named = np.minimum(np.maximum(self.ids[k], 0), len(self.prior.shares) - 1)
-            begin = self.q0 * self.prior.before.take(named) + (ahead[k] << SHARE_BITS)
-            past = v >= begin + self.q0 * self.prior.shares.take(named) + (own[k] << SHARE_BITS)
-            there = self.ids[k] >= 0
-            np.copyto(out, self.ids[k], where=there & (v >= begin) & ~past)
+            there = ids[k] != NONE
+            named = np.where(there, ids[k], self.prior.present[0])
+            before, share = self.order0(named)
+            begin = self.q0 * before + ((q * (ids < named)).sum(axis=0) << SHARE_BITS)
+            past = v >= begin + self.q0 * share + ((q * (ids == named)).sum(axis=0) << SHARE_BITS)
+            np.copyto(out, named, where=there & (v >= begin) & ~past)
             below += q[k] * (there & past)
-        rest = self.prior.at((v - (below << SHARE_BITS)) // self.q0)
-        return np.where(out >= 0, out, rest)
+        rest = np.flatnonzero(out < 0)
+        if len(rest):
+            out[rest] = self.of_order0((v[rest] - (below[rest] << SHARE_BITS)) // self.q0[rest], rest)
+        return out
+
+    def of_order0(self, x: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """The ids in whose shares of order 0 the numbers fall: every 16th class first, then the 16 that are left."""
+        scale, total, base = np.int32((1 << CLASS_BITS) - self.prior.size), np.int32(self.total), lanes * self.wide
+        top = (x >> MEMBER_BITS).astype(np.int32)[:, None]
+        coarse = self.every + self.sums[:, ::16][lanes] * scale // total
+        at = ((coarse <= top).sum(axis=1) - 1) * 16
+        fine = np.minimum(at[:, None] + self.next16, self.prior.size)
+        begins = fine.astype(np.int32) + self.flat.take(base[:, None] + fine) * scale // total
+        k = (begins[:, :16] <= top).sum(axis=1) - 1
+        own = np.minimum(at + k, self.prior.size - 1)
+        k = own - at
+        row = np.arange(len(x))
+        begin, end = begins[row, k].astype(np.int64), begins[row, k + 1]
+        return self.prior.member(own, (x - (begin << MEMBER_BITS)) // (end - begin))
 
     def learn(self, own: np.ndarray) -> None:
         """Takes in what came; call after :meth:`interval`."""
@@ -128,13 +186,15 @@ class _Model:
         w[0] *= (1 - RATE) + gain * p0
         w[1:] *= (1 - RATE) + gain * self.hit
         w /= w[0] + w[1] + w[2] + w[3]
-        self.weights[:, self.set] = w
-        id32 = own.astype(np.int32)
+        self.weights[self.set] = w.T
+        self.sums[:m] += self.steps > self.prior.group.take(own).astype(np.int16)[:, None]
+        self.total += 1
+        id16 = own.astype(np.uint16)
         self.right[0][self.slot2] = np.where(self.hit[0], np.minimum(self.right2 + 1, 3), 0)
-        self.named[0][self.slot2] = id32
+        self.named[0][self.slot2] = id16
         self.right[1][self.slot1] = np.where(self.hit[1], np.minimum(self.right1 + 1, 3), 0)
-        self.named[2][self.slot1] = np.where(self.hit[1], self.ids[2], self.ids[1])
-        self.named[1][self.slot1] = id32
+        self.named[2][self.slot1] = np.where(self.hit[1], self.ids[2], self.ids[1]).astype(np.uint16)
+        self.named[1][self.slot1] = id16
         self.two[:m] = self.one[:m]
         self.one[:m] = own
 
@@ -158,7 +218,7 @@ def encode(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
     ids = np.zeros((longest, lanes), np.uint16)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
-    model, low, span = _Model(lanes, prior), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    model, low, span = _Model(lanes, longest, prior), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     out, used = np.zeros((lanes, longest + 16), "<u2"), np.zeros(lanes, np.int64)
     for t in range(longest):
         m = int(np.searchsorted(-sizes, -t))  # lanes that still have ids
@@ -192,7 +252,7 @@ def decode(payloads: list[bytes], sizes: list[int], prior: Prior) -> list[np.nda
     data = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 8), "<u2")
     for i, p in enumerate(payloads):
         data[i, : len(p) // 2] = np.frombuffer(p[: len(p) // 2 * 2], "<u2")
-    model, low, span = _Model(lanes, prior), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    model, low, span = _Model(lanes, longest, prior), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for i in range(4):
         code = (code << _16) | data[:, i]

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.llm.common import partitions, saved, small
-from timberline.llm.range_coder import Prior, decode, encode
+from timberline.llm.range_coder import NONE, Prior, decode, encode
 
 #: Ids in a block, and blocks in a segment (a row of the file), at most.
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 2048, 1024
 END = 2
 MAGIC = b"TLTOKEN1"
 #: Words of which an encoder remembers the ids.
@@ -34,7 +34,7 @@ class Encoder:
     """Ids of whole texts. Of byte-level BPE without a prefix space, each different word is encoded once while it is remembered.
 
     Its pattern never joins a space to what is before it, unless white space or the end follows. A text in which each space is followed by
-    something else is thus encoded word by word, with the space before the word; any other text is encoded in one piece. New words are
+    something else is thus encoded word by word, with the space before the word; any other text, and one that holds the name of an added token, is encoded in one piece. New words are
     encoded end to end, and their ids told apart by the tokens that begin with a space.
     """
 
@@ -43,14 +43,15 @@ class Encoder:
 
         path = path or tokenizer_path()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, their names are text
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         before = parts.get("pre_tokenizer") or {}
         self.by_word = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not parts.get("normalizer")
         size = self.tokenizer.get_vocab_size()
-        if size > 1 << 16:
+        if size > NONE:
             raise ValueError("ids of more than 16 bits aren't supported")
+        added = [re.escape(x["content"]) for x in parts.get("added_tokens") or []]
+        self.whole = re.compile("|".join([r" (?:\s|\Z)", *added]))
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -78,7 +79,7 @@ class Encoder:
     def __call__(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         for text in texts:
             text = text or ""
-            if not self.by_word or re.search(r" (?:\s|\Z)", text):
+            if not self.by_word or self.whole.search(text):
                 yield self._ids(text)
                 continue
             first, *rest = text.split(" ")
