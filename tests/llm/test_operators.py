@@ -423,15 +423,26 @@ def test_exact_odd(odd, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("rows", [0, 10_000])
-def test_exact_without_broadcast(docs, texts, monkeypatch, rows):
-    monkeypatch.setattr(exact_dedup, "small", lambda df: df if not rows else F.broadcast(df))
+@pytest.mark.parametrize("bits", [15, 24])
+def test_exact_without_broadcast(docs, texts, monkeypatch, bits):
+    """Groups that are joined, not broadcast; with few bits nearly every text finds its bit marked."""
+    monkeypatch.setattr(exact_dedup, "small", lambda df: df)
+    monkeypatch.setattr(exact_dedup, "BITS", bits)
     first = {}
     for i, t in sorted(texts.items()):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)
     assert {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(docs).collect()} == {i: first[re.sub(r"[\x20\x09-\x0D]+", " ", t)] for i, t in texts.items()}
 
 
+def test_full_digests_are_of_what_is_left(spark, docs, texts):
+    """Texts with a length or a beginning of their own aren't digested."""
+    lengths = Counter(len(re.sub(r"[\x20\x09-\x0D]+", " ", t)) for t in texts.values())
+    marked = exact_dedup._bits(spark.createDataFrame([(h + 1,) for h in (0, 7, 8, 40_000)], "h long"))
+    asked = spark.range(1, 50_000).withColumnRenamed("id", "h").join(marked, F.bitmap_bucket_number("h") == F.col("bucket"), "left")
+    assert [r.h for r in asked.filter(exact_dedup._marked("bits", "h")).orderBy("h").collect()] == [1, 8, 9, 40_001]
+    assert 0 < sum(1 for n in lengths.values() if n > 1) < len(lengths)
+
+
 # --- 10 ---
 
 

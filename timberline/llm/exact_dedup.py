@@ -9,6 +9,8 @@ from timberline.llm.common import fresh, saved, small, text_or_empty
 
 #: Characters that the second round reads of each text that is left.
 PREFIX = 256
+#: Bits, as a power of two, of the map that marks what the second round leaves.
+BITS = 24
 
 
 def normalised(text: Column | str) -> Column:
@@ -16,6 +18,17 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", " ")
 
 
+def _bits(keys: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of 2^``BITS`` bits with one set for each hash in ``keys`` (h), a few MB at most whatever there is to mark."""
+    return keys.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+
+
+def _marked(bits: str, h: str) -> Column:
+    place = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, and the ``extra`` columns.
 
@@ -25,8 +38,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     2. a hash of the first ``prefix`` characters of those; only (length, hash) pairs that occur twice go on;
     3. SHA-256 of the whole text of those; equal digests form a group.
 
-    No text is shuffled: the keys that survive a round are broadcast while they are few, and beyond that
-    digests of all rows are joined instead. Group sizes are summed before the shuffle, so a group that holds
+    The first two rounds work on a written table of lengths and hashes, the third reads the texts again. No text is shuffled: the pairs that are left
+    mark bits in a map of fixed size, which is broadcast. A text that finds its bit marked by another pair is
+    digested for nothing and then is alone with its digest. Group sizes are summed before the shuffle, so a group that holds
     a third of all rows costs one row per task, and the last join may be split by adaptive execution.
 
     Null and empty texts are equal to each other. Rows that repeat both id and text are members of one group
@@ -39,16 +53,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     length = F.length("_norm").alias("_len")
     head = F.xxhash64(F.substring("_norm", 1, prefix)).alias("_head")
 
-    lengths = saved(base.groupBy(length).count().filter("count > 1").select("_len", F.lit(True).alias("_l")), "lengths")
-    headed = base.select(length, "_norm").join(small(lengths), "_len", "left_semi").select("_len", head)
-    heads = saved(headed.groupBy("_len", "_head").count().filter("count > 1").select("_len", "_head", F.lit(True).alias("_h")), "heads")
+    light = saved(base.select(length, head), "lengths")
+    lengths = saved(light.groupBy("_len").count().filter("count > 1").select("_len"), "repeated-lengths")
+    heads = light.join(small(lengths), "_len", "left_semi").groupBy("_len", "_head").count().filter("count > 1")
+    h = F.pmod(F.xxhash64("_len", "_head"), F.lit(1 << BITS)) + 1
+    marks = saved(_bits(heads.select(h.alias("h"))), "marks")
 
-    near = small(heads)
-    if near is heads:  # too many keys to broadcast: digests of all rows, so that no text is shuffled
-        rows = base.select("_id", *extras, length, head, F.sha2("_norm", 256).alias("_full")).join(heads, ["_len", "_head"], "left")
-    else:
-        rows = base.select("_id", *extras, "_norm", length, head).join(near, ["_len", "_head"], "left").withColumn("_full", F.when(F.col("_h"), F.sha2("_norm", 256)))
-    rows = saved(rows.select("_id", *extras, F.when(F.col("_h"), F.col("_full")).alias("_full")), "digests")
+    rows = base.select("_id", *extras, "_norm", length, head).withColumn("_h", h)
+    rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number("_h") == F.col("bucket"), "left")  # a broadcast of 2^BITS bits
+    rows = saved(rows.select("_id", *extras, F.when(_marked("bits", "_h"), F.sha2("_norm", 256)).alias("_full")), "digests")
 
     groups = rows.filter("_full is not null").groupBy("_full").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
     groups = small(saved(groups, "groups"))
