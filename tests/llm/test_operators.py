@@ -1,10 +1,14 @@
 """Each operator against a plain version, and on nulls, empty and repeated rows, empty tables and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
+import time
+import uuid
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -158,6 +162,60 @@ def test_warc_text():
     assert warc.plain_text(page) == "A & B\nx y\nz\nl"
 
 
+def test_warc_text_of_broken_and_long_pages():
+    assert warc.plain_text("a<script>var x=1;") == "a" and warc.plain_text("a<!-- b") == "a" and warc.plain_text("a<b c") == "a"
+    assert warc.plain_text("1 < 2 <3 <p>x</P >y</scripts>z<script-x>w</script-x>") == "1 < 2 <3\nx\nyzw"
+    assert warc.read_page("<HTML Lang=EN><a title='x' href = \"u&amp;v\">k</a><a href='w'/><a name=z>") == ("k", "", "en", ["u&v", "w"])
+    began = time.time()
+    for part in ("<script x", "<script>", "<!--", "<a ", "<a href=", "<a href='", "<title>", "</", "<", "&amp", "x=", "<a " + "y" * 50, "<style>a</style>"):
+        warc.read_page(part * 100_000)
+        warc.read_page("<a " + part.replace("<", "") * 100_000 + ">")
+    assert time.time() - began < 60
+
+
+class PlainPage(HTMLParser):
+    """Text of a page by Python's own parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden = [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "template")
+        self.parts.append("\n" if tag in warc._LINES else " " if self.hidden else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript", "template")
+        self.parts.append("\n" if tag in warc._LINES else "")
+
+    def handle_comment(self, data):
+        self.parts.append(" ")
+
+    def handle_data(self, data):
+        self.parts.append("" if self.hidden else data)
+
+    def text(self):
+        return "\n".join(x for x in (" ".join(line.split()) for line in "".join(self.parts).split("\n")) if x)
+
+
+def test_warc_query_against_plain(spark):
+    """Every row of the query from hashlib, uuid and Python's HTML parser."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {(r.page_id, r.record_type): r for r in warc.op2_warc_derivatives(spark, SF).collect()}
+    assert len(got) == 2 * len(pages)
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    for p in pages:
+        html, url = (p.html or "").encode(), p.url or ""
+        text = PlainPage(p.html or "").text().encode()
+        r, m = got[p.page_id, "conversion"], got[p.page_id, "metadata"]
+        source = f"<urn:uuid:{uuid.uuid5(warc.NAMESPACE, f'response|{p.page_id}|{url}|{sha1(html)}')}>"
+        assert (r.refers_to, r.target_uri, r.payload_digest, r.block_digest, r.n_bytes, r.block_sha256) == (source, url, sha1(html), sha1(text), len(text), hashlib.sha256(text).hexdigest())
+        assert (m.refers_to, m.target_uri) == (source, url) and m.record_id != r.record_id
+        assert r.record_id == f"<urn:uuid:{uuid.uuid5(warc.NAMESPACE, f'conversion|{source}')}>"
+
+
 def test_warc_odd(spark, tmp_path):
     pages = spark.createDataFrame([(1, None, None), (2, "http://a/\r\nb", "<p>\u2028x"), (2, "http://a/\r\nb", "<p>\u2028x"), (None, "u", "")], "page_id long, url string, html string").withColumn("headers", F.lit(1))
     made = warc.derivatives(warc.responses(pages))

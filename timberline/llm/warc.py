@@ -54,18 +54,70 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + length + 4
 
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|title|head|body))\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+#: Elements that are dropped with all that is in them, and those that begin a line.
+_DROPPED = {n: re.compile(rf"</{n}(?![\w-])[^>]*+>?", re.I) for n in ("script", "style", "noscript", "template")}
+_LINES = frozenset("br p div li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre title head body".split())
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_TITLE_END = re.compile(r"</title(?![\w-])", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s=/"'<>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+
+
+def _attribute(tag: str, name: str) -> str | None:
+    for key, *values in _ATTRIBUTE.findall(tag):
+        if key.lower() == name:
+            return html.unescape(next((v for v in values if v), ""))
+    return None
+
+
+def read_page(page: str) -> tuple[str, str, str, list[str]]:
+    """(text, title, language, links) of a page, in one walk from tag to tag.
+
+    Text: scripts, styles and comments dropped, a line for each block, entities resolved, white space tidy. A comment or a dropped element
+    without an end goes to the end of the page, as in browsers, and so does a tag without one. A ``<`` that begins no tag is text.
+    """
+    parts, links, title, lang, at = [], [], None, None, 0
+    while (tag := page.find("<", at)) >= 0:
+        parts.append(page[at:tag])
+        if page.startswith("<!--", tag):
+            end = page.find("-->", tag + 4)
+            parts.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        named = _TAG.match(page, tag)
+        if not named and page[tag + 1 : tag + 2] not in ("!", "?"):
+            parts.append("<")
+            at = tag + 1
+            continue
+        end = page.find(">", tag)
+        if end < 0:
+            at = len(page)
+            break
+        at = end + 1
+        name, opens = (named[1].lower(), page[tag + 1] != "/") if named else ("", False)
+        if opens and name in _DROPPED:
+            closed = _DROPPED[name].search(page, at)
+            parts.append(" ")
+            at = closed.end() if closed else len(page)
+        elif name in _LINES:
+            parts.append("\n")
+            if opens and name == "title" and title is None:
+                closed = _TITLE_END.search(page, at)
+                title = page[at : closed.start()] if closed else ""
+                parts.append(title)
+                at += len(title)
+        elif opens and name == "a":
+            link = _attribute(page[tag:end], "href")
+            if link is not None:
+                links.append(link)
+        elif opens and name == "html" and lang is None:
+            lang = _attribute(page[tag:end], "lang")
+    parts.append(page[at:])
+    text = "\n".join(x for x in (" ".join(line.split()) for line in html.unescape("".join(parts)).split("\n")) if x)
+    return text, " ".join(html.unescape(title or "").split()), (lang or "").lower(), links
 
 
 def plain_text(page: str) -> str:
-    """Text of a page: scripts, styles and comments dropped, a line for each block, entities resolved, white space tidy."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape(text).split("\n")) if x)
+    return read_page(page)[0]
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -108,7 +160,7 @@ def _mapped(rows: DataFrame, make, size: int = 256) -> DataFrame:
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
-    """Response records of a table of pages, one per row. A null url or page is an empty one."""
+    """Response records of a table of pages, one per row; repeated rows give equal records. A null url or page is an empty one, an empty table gives none."""
 
     def make(page_id, url, page):
         payload, uri = (page or "").encode("utf-8", "replace"), _line(url)
@@ -127,7 +179,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     identifier or sizes are kept as ``source-...`` fields. Identifiers follow from the source's, so reruns agree.
 
     Records of other types give nothing. Empty pages give an empty text, and repeated rows repeat their records.
-    Page bytes that aren't UTF-8 are replaced in the text, not in the source. Other columns of the table are not read.
+    Page bytes that aren't UTF-8 are replaced in the text, not in the source. A page is read in one walk, whatever its length. Null headers and blocks
+    are empty ones. Other columns of the table are not read. An empty table gives an empty result.
     """
 
     def make(page_id, target_uri, headers, block):
@@ -136,17 +189,15 @@ def derivatives(records: DataFrame) -> DataFrame:
         status, fields, payload = http_parts(block or b"")
         page, uri, date = payload.decode("utf-8", "replace"), target_uri or "", source["WARC-Date"]
         kept = source.get("WARC-Payload-Digest") or digest(payload)
-        title, lang = _TITLE.search(page), _LANG.search(page)
+        text, title, lang, links = read_page(page)
         about = [("source-payload-digest", kept), ("source-block-digest", source.get("WARC-Block-Digest") or digest(block or b"")), ("source-status", status)]
         about += [(f"source-{k}", v) for k, v in source.items() if k not in ("WARC-Type", "WARC-Record-ID", "WARC-Block-Digest", "WARC-Payload-Digest", "Content-Length")]
         about += [(f"source-http-{k}", v) for k, v in fields]
-        about += [("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("language", lang[1].lower() if lang else "")]
-        about += [("outlink", html.unescape(a or b or c)) for a, b, c in _HREF.findall(_DROP.sub(" ", page))]
+        about += [("title", title), ("language", lang), *(("outlink", x) for x in links)]
         block_of = "".join(f"{k}: {_line(v)}\r\n" for k, v in about if v).encode("utf-8", "replace")
         key = (source["WARC-Record-ID"],)
         yield _record(page_id, "metadata", uri, date, "application/warc-fields", block_of, key, source)
-        text = plain_text(page).encode("utf-8", "replace")
-        yield _record(page_id, "conversion", uri, date, "text/plain; charset=utf-8", text, key, source, kept)
+        yield _record(page_id, "conversion", uri, date, "text/plain; charset=utf-8", text.encode("utf-8", "replace"), key, source, kept)
 
     return _mapped(records.filter("record_type = 'response'").select("page_id", "target_uri", "headers", "block"), make)
 
