@@ -51,9 +51,10 @@ def ngrams(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> tuple[np
     return np.concatenate(docs), (np.concatenate(found) % np.uint64(buckets)).astype(np.int64)
 
 
-def bounded_labels(labels: DataFrame, rows: int = LABEL_ROWS, id_col: str = "doc_id") -> DataFrame:
-    """At most ``rows`` labelled rows, the same ones each time: those whose ids have the least hashes. One row per id."""
-    return labels.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+def bounded_labels(labels: DataFrame, flags: dict[str, Column], rows: int = LABEL_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """(id, and each of ``flags``): at most ``rows`` labelled ids, the same ones each time: those that have the least hashes. A flag holds if it does for any of the id's rows; null is false."""
+    own = labels.select(F.col(id_col).alias("id"), *[F.coalesce(p, F.lit(False)).alias(n) for n, p in flags.items()]).filter("id is not null")
+    return own.groupBy("id").agg(*[F.max(n).alias(n) for n in flags]).orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
 def models(docs: DataFrame, target: Column, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
@@ -139,10 +140,11 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     hasn't seen, tell where the weights of good documents end.
 
     Null and empty texts weigh nothing (log weight 0). Rows that repeat an id get the same noise. Keys equal to
-    the edge are all in the sample. Labels of unknown documents, and null labels, count for nothing; of an
-    id that is labelled twice one label counts. Without any target label every document weighs about alike, and all stay.
+    the edge are all in the sample. Labels of unknown documents, and null labels, count for nothing; an
+    id that is labelled twice is a target if one of its labels says so. Without any target label every document weighs about alike, and all stay.
+    An empty table of documents gives an empty sample. Very long texts are weighed whole, in pieces of memory that a text fills. Other columns are not read.
     """
-    bounded = saved(bounded_labels(labels, label_rows, id_col).select(F.col(id_col).alias("_label_id"), (F.col(target_col) == 1).alias("_target"), (F.xxhash64(F.col(id_col), F.lit(seed)) % 2 == 0).alias("_fit")), "labels")
+    bounded = saved(bounded_labels(labels, {"_target": F.col(target_col) == 1}, label_rows, id_col).select(F.col("id").alias("_label_id"), "_target", (F.xxhash64("id", F.lit(seed)) % 2 == 0).alias("_fit")), "labels")
     # bounded: at most label_rows rows of two numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ratio = models(rows.join(F.broadcast(bounded), F.col("id") == F.col("_label_id"), "left"), F.col("_target") & F.col("_fit"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.llm.common import saved
@@ -17,14 +17,16 @@ from timberline.llm.textbytes import LETTERS, LOWER, Rolling, chunks, words
 BUCKETS = 1 << 18
 #: Labelled rows that the chain is fitted on at most, taken by a hash of the id.
 LABEL_ROWS = 20_000
+#: Different words that those rows have together at most; rows are taken in the order of the hashes while they fit. Bounds what reaches the driver to 64 MB.
+LABEL_WORDS = 16_000_000
 FOLDS = 4
 #: Standard deviations by which a word's count in a category must differ from chance to be used.
 APART = 5.0
 
 _ROLL = Rolling(0xA24BAED4963EE407)
 
-#: Labels as a chain, in this order: what is no prose first, since its words are unlike others.
-CATEGORIES = {"junk": "quality = 0", "toxic": "toxic = 1", "toxic_junk": "toxic = 1 AND quality = 0"}
+#: The labels' toxicity categories as a chain, in this order: toxic at all, then the two kinds that the labels tell apart.
+CATEGORIES = {"toxic": "toxic = 1", "toxic_prose": "toxic = 1 AND quality = 1", "toxic_junk": "toxic = 1 AND quality = 0"}
 
 
 def word_buckets(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -100,13 +102,12 @@ class Chain:
         return seen
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, label_rows: int = LABEL_ROWS, folds: int = FOLDS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """A chain for the categories (name -> condition on a labelled row), from at most ``label_rows`` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, label_rows: int = LABEL_ROWS, label_words: int = LABEL_WORDS, folds: int = FOLDS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """A chain for the categories (name -> condition on a labelled row), from at most ``label_rows`` labelled rows with ``label_words`` words.
 
     What reaches the driver is bounded by that: for each such row the buckets of its different words.
     """
-    flags = [F.coalesce(F.expr(rule), F.lit(False)).alias(name) for name, rule in categories.items()]
-    bounded = saved(bounded_labels(labels, label_rows, id_col).select(F.col(id_col).alias("_label_id"), F.array(*flags).alias("flags")), "labels")
+    bounded = saved(bounded_labels(labels, {n: F.expr(rule) for n, rule in categories.items()}, label_rows, id_col).select(F.col("id").alias("_label_id"), F.array(*categories).alias("flags")), "labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(bounded), F.col("id") == F.col("_label_id")).select("id", "flags", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "flags", "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, flags array<boolean>, words binary").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toArrow()
+    found = rows.mapInArrow(run, f"id {kind}, flags array<boolean>, words binary").groupBy("id").agg(F.max("flags").alias("flags"), F.min("words").alias("words"))  # of an id with several texts always the same
+    order = Window.orderBy(F.xxhash64("id"), "id")  # of at most label_rows rows
+    found = found.withColumn("total", F.sum(F.octet_length("words") / 4).over(order)).filter(F.col("total") <= label_words).orderBy(F.xxhash64("id"), "id").toArrow()
     lists = [np.frombuffer(x, "<i4") for x in found.column("words").to_pylist()]
     flat = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -141,9 +144,10 @@ def scored(docs: DataFrame, chain: Chain, names: list[str], id_col: str = "doc_i
 def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, **how) -> DataFrame:
     """Chain fitted and applied to every whole text of ``docs``.
 
-    Null and empty texts have no words and get the base rates. Rows that repeat an id are scored each; one of them is
-    learned from. Null labels count as not in the category, labels of unknown documents for nothing, and of an id that
-    is labelled twice one label counts. Without labels nothing is flagged. Other columns are not read.
+    Null and empty texts have no words and get the base rates. Rows that repeat an id are scored each; one of them, always the same, is
+    learned from. Null labels count as not in the category, labels of unknown documents for nothing, and an id that
+    is labelled twice is in a category if one of its labels says so. Without labels, or with an empty table of them, nothing is flagged; an empty
+    table of documents gives an empty result. Other columns are not read.
     """
     return scored(docs, fit(docs, labels, categories, **how), list(categories))
 
