@@ -449,6 +449,18 @@ def test_bad_branches_are_rejected(spark):
     assert {r.template for r in got if r.page_id < 400} == {"/spam/*", "/news/*"}
 
 
+def test_deep_branches_are_told_apart(spark):
+    """Good and bad part at the sixth segment; small nodes aren't split further; page ids repeat, and urls may be long."""
+    rows = [(i % 300, f"http://h.test/a/b/c/d/e/{'spam' if i % 2 else 'news'}/{i}", i % 2 == 0) for i in range(400)]
+    rows += [(1000 + i, "http://few.test/x/y/z", None) for i in range(3)] + [(2000, "http://long.test/" + "s/" * 20_000 + "t", None), (2001, None, None), (2002, "http://h.test", None)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, good boolean")).collect()
+    assert len(got) == len(rows)
+    assert {(r.template, r.verdict) for r in got if "/spam/" in r.path} == {("/*/*/*/*/*/spam/*", "block")}
+    assert {(r.template, r.verdict) for r in got if "/news/" in r.path} == {("/*/*/*/*/*/news/*", "allow")}
+    assert {r.template for r in got if r.host == "few.test"} == {"/**"} == {r.template for r in got if r.page_id == 2000}
+    assert {(r.template, r.verdict) for r in got if r.page_id in (2001, 2002)} == {("", "allow")}
+
+
 # --- 8 ---
 
 

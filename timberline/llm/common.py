@@ -1,48 +1,32 @@
-"""What the operators of this subpackage share: the shared folder, written tables, and checked broadcasts."""
+"""What the operators of this subpackage share: written tables and checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests, a laptop), the context's own checkpoint folder is used,
-    or a new temporary one, which is then right because everything runs on one machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        held = tempfile.mkdtemp(prefix="timberline-")
-        spark.sparkContext.setCheckpointDir(held)
-    return held
+from timberline.sources.store import written
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, so that lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
-#: A table of at most this many rows of a few numbers may be broadcast.
-BROADCAST_ROWS = 200_000
+#: A table of at most this many rows, with so many bytes of text in them, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffled join follows).
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes of text, else as it is (a shuffled join follows).
 
-    ``df`` should be a written table: it is counted here.
+    ``df`` should be a written table: it is counted and measured here.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(reduce(Column.__add__, texts, F.lit(0).cast("long"))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

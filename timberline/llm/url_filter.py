@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import saved, small
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Levels of the tree; what is deeper is one last segment.
-DEPTH = 4
-#: Pages that a branch needs to be told from its siblings, and how many standard deviations its labels must differ.
+#: Pages that a node needs to be split, and a branch to be told from its siblings, and how many standard deviations its labels must differ.
 SUPPORT, APART = 20, 3.0
 #: Weight of the rate above in a smoothed rate, and the purity below which a template is rejected.
 PRIOR, PURE = 8.0, 0.5
@@ -29,11 +27,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments with what varies made a wildcard; from ``depth`` on they are one, ``**``."""
+def segments(path: Column) -> Column:
+    """The path's segments with what varies made a wildcard."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    general = F.transform(parts, lambda x: F.when(x.rlike("^[0-9a-fA-F-]{16,}\\z"), "{hex}").when(F.length(x) > 40, "{long}").otherwise(F.regexp_replace(x, "[0-9]+", "{n}")))
-    return F.when(F.size(parts) <= depth, general).otherwise(F.concat(F.slice(general, 1, depth - 1), F.array(F.lit("**"))))
+    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9a-fA-F-]{16,}\\z"), "{hex}").when(F.length(x) > 40, "{long}").otherwise(F.regexp_replace(x, "[0-9]+", "{n}")))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -44,34 +41,52 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return pick([h + p for _, h, p in longest]), pick([v for v, _, _ in longest])
 
 
-def templates(pages: DataFrame, depth: int = DEPTH, support: int = SUPPORT, apart: float = APART, prior: float = PRIOR, pure: float = PURE) -> DataFrame:
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")])
+
+
+def templates(pages: DataFrame, support: int = SUPPORT, apart: float = APART, prior: float = PRIOR, pure: float = PURE) -> DataFrame:
     """(host, path) and ``good`` (true, false or null for unlabelled) -> (host, shape, template, purity, rejected).
 
-    Pages are first counted by host and shape (their generalised segments), of which there are few: all later steps are
-    joins and sums of that table. From the root down, at each node, a branch keeps its own segment if it has ``support`` pages and
-    its labels differ from the node's by ``apart`` standard deviations; all other branches are merged into ``*``. A
-    template's purity is its share of good pages, drawn to its host's share, and that to the share of all.
+    Pages are first counted by host and shape (their generalised segments). From the root down, at each node, a branch keeps its own segment if it has ``support`` pages and
+    its labels differ from the node's by ``apart`` standard deviations; all other branches are merged into ``*``. A node with fewer than ``support`` pages isn't
+    split, and what is below it is ``**``; so the tree is as deep as pages reach. A template's purity is its share of good pages, drawn to its host's share, and
+    that to the share of all.
+
+    Each level sums the shapes that are still open by node and by branch, with partial sums before the shuffle: no task sees a whole host. Only branches with ``support`` pages
+    are joined back, broadcast while they are few.
     """
-    counted = pages.groupBy("host", F.array_join(segments(F.col("path"), depth), "/").alias("shape")).agg(
-        F.count("*").alias("n"), F.count("good").alias("labelled"), F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("good"))
-    level = saved(counted.withColumn("template", F.lit("")), "shapes")
+    shape = F.array_join(segments(F.col("path")), "/")
+    counted = pages.groupBy("host", shape.alias("shape")).agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("good"))
+    level = saved(counted.withColumns({"template": F.lit(""), "open": F.lit(True)}), "shapes")
     rate = level.agg((F.coalesce(F.sum("good"), F.lit(0)) + prior) / (F.coalesce(F.sum("labelled"), F.lit(0)) + prior)).first()[0]
-    for d in range(depth):
-        token = F.try_element_at(F.filter(F.split("shape", "/"), lambda x: x != ""), F.lit(d + 1))
-        level = level.withColumn("token", token)
-        branches = level.filter("token is not null").groupBy("host", "template", "token").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")])
-        node = Window.partitionBy("host", "template")
-        p = (F.sum("good").over(node) + F.lit(prior) * F.lit(rate)) / (F.sum("labelled").over(node) + F.lit(prior))
-        branches = branches.withColumn("p", p)
+    done, depth = [], 0
+    while True:
+        token = F.nullif(F.get(F.split("shape", "/"), F.lit(depth)), F.lit(""))
+        live = level.withColumn("token", token)
+        done.append(live.filter("token is null").drop("token"))
+        live = live.filter("token is not null")
+        nodes = _summed(live, "host", "template").filter(F.col("n") >= support)
+        p = (F.col("good") + F.lit(prior) * F.lit(rate)) / (F.col("labelled") + F.lit(prior))
+        nodes = small(saved(nodes.select(F.col("host").alias("_h"), F.col("template").alias("_t"), p.alias("p")), "nodes"))
+        at_node = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))
         gap = F.col("good") - F.col("labelled") * F.col("p")
-        own = branches.filter((F.col("n") >= support) & (F.col("labelled") > 0) & (gap * gap >= apart * apart * F.col("labelled") * F.col("p") * (1 - F.col("p"))))
-        level = level.join(own.select("host", "template", "token", F.lit(True).alias("own")), ["host", "template", "token"], "left")
-        step = F.when(F.col("token").isNull(), F.lit("")).when(F.col("own"), F.concat(F.lit("/"), "token")).otherwise(F.lit("/*"))
-        level = level.select("host", "shape", "n", "labelled", "good", F.concat("template", step).alias("template"))
-    hosts, nodes = Window.partitionBy("host"), Window.partitionBy("host", "template")
-    of_host = (F.sum("good").over(hosts) + F.lit(prior) * F.lit(rate)) / (F.sum("labelled").over(hosts) + F.lit(prior))
-    purity = (F.sum("good").over(nodes) + F.lit(prior) * of_host) / (F.sum("labelled").over(nodes) + F.lit(prior))
-    return level.select("host", "shape", "template", purity.alias("purity")).withColumn("rejected", F.col("purity") < pure)
+        own = _summed(live, "host", "template", "token").filter((F.col("n") >= support) & (F.col("labelled") > 0)).join(nodes, at_node)
+        own = own.filter(gap * gap >= apart * apart * F.col("labelled") * F.col("p") * (1 - F.col("p")))
+        own = small(saved(own.select(F.col("_h").alias("_bh"), F.col("_t").alias("_bt"), F.col("token").alias("_bk")), "branches"))
+        joined = live.join(nodes, at_node, "left").join(own, (F.col("host") == F.col("_bh")) & (F.col("template") == F.col("_bt")) & (F.col("token") == F.col("_bk")), "left")
+        step = F.when(F.col("_h").isNull(), "/**").when(F.col("_bh").isNotNull(), F.concat(F.lit("/"), "token")).otherwise("/*")
+        level = saved(joined.select("host", "shape", "n", "labelled", "good", F.concat("template", step).alias("template"), F.col("_h").isNotNull().alias("open")), "level")
+        done.append(level.filter("not open"))
+        level, depth = level.filter("open"), depth + 1
+        if level.isEmpty():
+            break
+    found = saved(reduce(DataFrame.unionByName, done).select("host", "shape", "template", "n", "labelled", "good"), "templated")
+    of_host = _summed(found, "host").select(F.col("host").alias("_h"), ((F.col("good") + F.lit(prior) * F.lit(rate)) / (F.col("labelled") + F.lit(prior))).alias("of_host"))
+    model = _summed(found, "host", "template").join(small(saved(of_host, "hosts")), F.col("host") == F.col("_h"))
+    purity = (F.col("good") + F.lit(prior) * F.col("of_host")) / (F.col("labelled") + F.lit(prior))
+    model = small(saved(model.select("host", "template", purity.alias("purity")), "model"))
+    return found.select("host", "shape", "template").join(model, ["host", "template"]).withColumn("rejected", F.col("purity") < pure)
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", good_col: str = "good", **how) -> DataFrame:
@@ -79,23 +94,27 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
     A page whose url fits a rule gets the rule's verdict, another one is blocked if its template is rejected. ``good_col``
     says of labelled pages whether they are good; null is unlabelled. Urls that are null or have no ``://`` have empty host and path,
-    and share a template. Rows that repeat an id are judged each. Other columns are not read.
+    and share a template. Rows that repeat an id are judged each, very long urls whole. Other columns are not read. An empty table gives an empty result.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(good_col).alias("good"))
-    depth = how.get("depth", DEPTH)
     found = small(saved(templates(rows, **how), "templates"))
-    joined = rows.withColumn("shape", F.array_join(segments(F.col("path"), depth), "/")).join(found, ["host", "shape"], "left")
+    joined = rows.withColumn("shape", F.array_join(segments(F.col("path")), "/")).join(found, ["host", "shape"], "left")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(said, F.when(F.col("rejected"), "block").otherwise("allow"))
     return joined.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``pages`` and ``good``: the quality of the document whose id is the first number of the path, where it is labelled."""
+    """``pages`` (page_id, url) and ``good``: the quality of the document whose id is the first number of the path, where it is labelled.
+
+    Pages without a number are not joined; as one null key they would meet in one task.
+    """
     known = labels.groupBy(F.col("doc_id").alias("_doc")).agg((F.max("quality") == 1).alias("good"))
     number = F.regexp_extract(path_of(F.col("url")), "/([0-9]{1,18})", 1)
-    return pages.select("page_id", "url", F.when(number != "", number).cast("long").alias("_doc")).join(known, "_doc", "left").drop("_doc")
+    rows = pages.select("page_id", "url", F.when(number != "", number).cast("long").alias("_doc"))
+    without = rows.filter("_doc is null").select("page_id", "url", F.lit(None).cast("boolean").alias("good"))
+    return rows.filter("_doc is not null").join(known, "_doc", "left").select("page_id", "url", "good").unionByName(without)
 
 
 def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +122,20 @@ def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(labelled(pages, labels)).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+#: Levels that the SQL below has; a recursive query can't sum over a level.
+_LEVELS = 9
+
+
 def _level(d: int) -> str:
     return rf"""
-b{d} AS (SELECT host, template, token, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good
-  FROM (SELECT *, segs[{d + 1}] AS token FROM l{d}) WHERE token IS NOT NULL GROUP BY ALL),
-p{d} AS (SELECT *, (sum(good) OVER w + 8.0::DOUBLE * rate) / (sum(labelled) OVER w + 8.0::DOUBLE) AS p FROM b{d}, g WINDOW w AS (PARTITION BY host, template)),
-o{d} AS (SELECT host, template, token FROM p{d} WHERE n >= 20 AND labelled > 0 AND (good - labelled * p) * (good - labelled * p) >= 9.0::DOUBLE * labelled * p * (1 - p)),
-l{d + 1} AS (SELECT l.host, l.shape, l.segs, l.n, l.labelled, l.good,
-    l.template || CASE WHEN l.segs[{d + 1}] IS NULL THEN '' WHEN o.token IS NOT NULL THEN '/' || l.segs[{d + 1}] ELSE '/*' END AS template
-  FROM l{d} l LEFT JOIN o{d} o ON l.host = o.host AND l.template = o.template AND l.segs[{d + 1}] = o.token),"""
+o{d} AS (SELECT *, segs[{d + 1}] AS token FROM l{d} WHERE open),
+n{d} AS (SELECT host, template, (sum(good) + 8.0::DOUBLE * any_value(rate)) / (sum(labelled) + 8.0::DOUBLE) AS p FROM o{d}, g WHERE token IS NOT NULL GROUP BY host, template HAVING sum(n) >= 20),
+b{d} AS (SELECT host, template, token FROM (SELECT host, template, token, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM o{d} WHERE token IS NOT NULL GROUP BY ALL) JOIN n{d} USING (host, template)
+  WHERE n >= 20 AND labelled > 0 AND (good - labelled * p) * (good - labelled * p) >= 9.0::DOUBLE * labelled * p * (1 - p)),
+l{d + 1} AS (SELECT o.host, o.shape, o.segs, o.n, o.labelled, o.good, o.template || CASE WHEN o.token IS NULL THEN '' WHEN n.host IS NULL THEN '/**' WHEN b.host IS NOT NULL THEN '/' || o.token ELSE '/*' END AS template,
+    o.token IS NOT NULL AND n.host IS NOT NULL AS open
+  FROM o{d} o LEFT JOIN n{d} n ON o.host = n.host AND o.template = n.template LEFT JOIN b{d} b ON o.host = b.host AND o.template = b.template AND o.token = b.token
+  UNION ALL SELECT host, shape, segs, n, labelled, good, template, open FROM l{d} WHERE NOT open),"""
 
 
 OP7_SQL = rf"""
@@ -121,11 +145,10 @@ q AS (SELECT doc_id, max(quality) = 1 AS good FROM labels GROUP BY doc_id),
 s AS (SELECT u.*, good, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{{16,}}\z') THEN '{{hex}}'
     WHEN length(x) > 40 THEN '{{long}}' ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS parts
   FROM u LEFT JOIN q ON q.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') AS BIGINT)),
-r AS (SELECT * EXCLUDE (parts), CASE WHEN len(parts) <= 4 THEN parts ELSE list_append(parts[1:3], '**') END AS segs FROM s),
-c AS (SELECT *, array_to_string(segs, '/') AS shape FROM r),
-l0 AS (SELECT host, shape, segs, count(*) AS n, count(good) AS labelled, count(*) FILTER (good) AS good, '' AS template FROM c GROUP BY host, shape, segs),
-g AS (SELECT (coalesce(sum(good), 0) + 8.0::DOUBLE) / (coalesce(sum(labelled), 0) + 8.0::DOUBLE) AS rate FROM l0),{"".join(map(_level, range(4)))}
-h AS (SELECT *, (sum(good) OVER (PARTITION BY host) + 8.0::DOUBLE * rate) / (sum(labelled) OVER (PARTITION BY host) + 8.0::DOUBLE) AS of_host FROM l4, g),
+c AS (SELECT * EXCLUDE (parts), parts AS segs, array_to_string(parts, '/') AS shape FROM s),
+l0 AS (SELECT host, shape, segs, count(*) AS n, count(good) AS labelled, count(*) FILTER (good) AS good, '' AS template, true AS open FROM c GROUP BY host, shape, segs),
+g AS (SELECT (coalesce(sum(good), 0) + 8.0::DOUBLE) / (coalesce(sum(labelled), 0) + 8.0::DOUBLE) AS rate FROM l0),{"".join(map(_level, range(_LEVELS)))}
+h AS (SELECT *, (sum(good) OVER (PARTITION BY host) + 8.0::DOUBLE * rate) / (sum(labelled) OVER (PARTITION BY host) + 8.0::DOUBLE) AS of_host FROM l{_LEVELS}, g),
 t AS (SELECT host, shape, template, (sum(good) OVER w + 8.0::DOUBLE * of_host) / (sum(labelled) OVER w + 8.0::DOUBLE) < 0.5 AS rejected FROM h WINDOW w AS (PARTITION BY host, template)),
 v AS (SELECT c.page_id, c.host, c.path, template, rejected, CASE
     WHEN (c.host = 'example.net' OR c.host LIKE '%.example.net') AND starts_with(c.path, '/en/') THEN 'example.net/en/'
