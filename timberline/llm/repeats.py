@@ -293,8 +293,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), sig.alias("sig"), text_or_empty(text_col).alias("text"))
 
     runs = saved(occurrences(rows, length), "runs")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    runs = saved(runs.join(often, "anchor", "left_semi"), "candidates")
+    often = saved(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")  # written, so that the join can be split at an anchor with very many runs
+    runs = saved(runs.join(small(often), "anchor", "left_semi"), "candidates")
     same = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "sig", "first", "starts")).alias("one"))
     same = saved(same.select("anchor", "context", "n", "one.*"), "contexts")
     several = saved(same.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("anchor", (F.col("contexts") > most).alias("hot")), "several")
