@@ -484,6 +484,29 @@ def test_proximity(spark):
     assert {(r.id, r.kind) for r in hits.collect()} == {(1, "phrase"), (2, "near")}
 
 
+@pytest.mark.parametrize("bits, joined", [(15, False), (15, True), (26, True)])
+def test_matches_against_plain(spark, monkeypatch, bits, joined):
+    """Phrases and near places of windows of four words; maps with many false marks; joins in place of broadcasts."""
+    if joined:
+        monkeypatch.setattr(decontaminate, "small", lambda df: df)
+        monkeypatch.setattr(decontaminate, "fits", lambda df: False)
+    rng, n, slack = random.Random(4), 4, 2
+    vocabulary = [f"w{i}" for i in range(30)]
+    docs = [[rng.choice(vocabulary) for _ in range(rng.randrange(60))] for _ in range(40)]
+    items = [docs[i][5 : 5 + rng.randrange(1, 9)] for i in range(0, 20, 2)] + [["w1"], ["w2", "w2", "w3"]]
+    windows = {tuple(w[i : i + n]) for w in items for i in range(max(1, len(w) - n + 1)) if w}
+    phrases = {(d, " ".join(w), i) for d, t in enumerate(docs) for w in windows for i in range(len(t)) if tuple(t[i : i + len(w)]) == w}
+    near = {(d, " ".join(w)) for d, t in enumerate(docs) for w in windows for i in range(len(t)) if len(w) > 1 and set(w) <= set(t[i : i + len(w) + slack])}
+    a = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    _, hits, owners = decontaminate.matches(a, b, size=n, slack=slack, bits=bits)
+    texts = {hashlib.sha256(" ".join(w).encode()).hexdigest(): " ".join(w) for w in windows}
+    rows = hits.collect()
+    assert {(r.id, texts[r.window], r.start) for r in rows if r.kind == "phrase"} == phrases
+    assert {(r.id, texts[r.window]) for r in rows} - {(d, w) for d, w, _ in phrases if " " not in w} == near | {(d, w) for d, w, _ in phrases if " " in w}
+    assert {r.window for r in owners.collect()} == set(texts)
+
+
 # --- 9 ---
 
 

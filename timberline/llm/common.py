@@ -19,14 +19,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes of text, else as it is (a shuffled join follows).
-
-    ``df`` should be a written table: it is counted and measured here.
-    """
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table has at most ``rows`` rows and ``size`` bytes of text: it is counted and measured here."""
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(reduce(Column.__add__, texts, F.lit(0).cast("long"))), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held <= size else df
+    return n <= rows and held <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if it :func:`fits`, else as it is: a shuffled join follows."""
+    return F.broadcast(df) if fits(df, rows, size) else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import fresh, saved, small, text_or_empty
+from timberline.llm.common import fits, fresh, saved, small, text_or_empty
 from timberline.llm.textbytes import LETTERS, LOWER, Rolling, chunks, flat, words
 
 #: Words in a window of a benchmark item.
 WINDOW = 10
-#: The benchmark's terms are sent to the tasks while there are at most so many (16 bytes each); beyond, they are joined.
-MOST_TERMS = 2_000_000
+#: Bits, as a power of two, of the map that tells tasks which terms may be asked for: 8 MB for any benchmark. What it lets through for nothing is dropped by a join.
+BITS = 26
 
 _ROLL = Rolling(0x9E3779B97F4A7C15)
 
@@ -47,103 +47,130 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     return rows.mapInArrow(run, f"item_id {rows.schema['id'].dataType.simpleString()}, words array<string>, terms array<long>")
 
 
-def _known(term: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Where each term stands in the sorted table; -1 for none."""
-    if not len(table):
-        return np.full(len(term), -1)
-    k = np.minimum(np.searchsorted(table, term), len(table) - 1)
-    return np.where(table[k] == term, k, -1)
+def _marks(terms: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bitmap of 2^``bits`` bits with one set for each of ``terms`` (term), built in parallel."""
+    place = F.col("term").bitwiseAND(F.lit((1 << bits) - 1))
+    parts = terms.select((place + 1).alias("h")).groupBy((F.bitmap_bucket_number("h") - 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for k, part in parts:
+        out[k * 4096 : (k + 1) * 4096] = np.frombuffer(part, np.uint8)[: len(out)]
+    return out
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+def _marked(term: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    place = term.view(np.uint64) & np.uint64(8 * len(marks) - 1)
+    return (marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(term, n): how often each of ``terms`` occurs in all documents; terms that never occur have no row."""
-    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in terms.collect()], np.int64))) if few else None
+    sent = docs.sparkSession.sparkContext.broadcast(_marks(terms, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in chunks(batches):
             term = _terms(data, at)[-1]
-            if sent is None:
-                found, n = np.unique(term, return_counts=True)
-            else:
-                k = _known(term, sent.value)
-                n = np.bincount(k[k >= 0], minlength=len(sent.value))
-                found, n = sent.value[n > 0], n[n > 0]
+            found, n = np.unique(term[_marked(term, sent.value)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long")
-    counts = counts if few else counts.join(terms, "term", "left_semi")
-    return counts.groupBy("term").agg(F.sum("n").alias("n"))
-
-
-_INDEX = pa.struct([("term", pa.int64()), ("pos", pa.int64()), ("before", pa.int32()), ("around", pa.list_(pa.string()))])
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counts.join(terms, "term", "left_semi")
 
 
-def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, n_words, postings): for every document, where each of ``terms`` (term, left, right) stands.
+def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """(id, sig, n_words, postings): for every document, where each of ``terms`` (term) stands. A few other terms may be among them.
 
-    A posting also holds the words around it, as far as ``left`` and ``right`` of its term ask, so that a phrase is decided
-    from the rarest term's list without the documents' texts. ``sig`` is a hash of the text, to tell rows that share an id apart.
+    ``sig`` is a hash of the text, to tell rows that share an id apart.
     """
-    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    if few:
-        held = np.array([tuple(r) for r in terms.select("term", "left", "right").collect()], np.int64).reshape(-1, 3)
-        sent = docs.sparkSession.sparkContext.broadcast(held[np.argsort(held[:, 0])])
-    else:
-        most = terms.agg(F.max("left"), F.max("right")).first()
+    sent = docs.sparkSession.sparkContext.broadcast(_marks(terms, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in chunks(batches):
-            folded, start, end, doc, term = _terms(data, at)
+            *_, doc, term = _terms(data, at)
             first = np.searchsorted(doc, np.arange(len(at)))  # each document's first word
-            if few:
-                k = _known(term, sent.value[:, 0])
-                hit = np.flatnonzero(k >= 0)
-                left, right = sent.value[k[hit], 1], sent.value[k[hit], 2]
-            else:
-                hit = np.arange(len(term))
-                left, right = np.full(len(hit), most[0]), np.full(len(hit), most[1])
-            low, high = np.maximum(hit - left, first[doc[hit]]), np.minimum(hit + right + 1, first[doc[hit] + 1])
-            around = [[folded[start[j] : end[j]].tobytes().decode("utf-8", "replace") for j in range(a, b)] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            postings = pa.StructArray.from_arrays([pa.array(term[hit]), pa.array(hit - first[doc[hit]]), pa.array((hit - low).astype(np.int32)), pa.array(around, pa.list_(pa.string()))], fields=list(_INDEX))
+            hit = np.flatnonzero(_marked(term, sent.value))
+            postings = pa.StructArray.from_arrays([pa.array(term[hit]), pa.array(hit - first[doc[hit]])], names=["term", "pos"])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(hit, first).astype(np.int32)), postings)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first).astype(np.int64)), lists], names=["id", "sig", "n_words", "postings"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("sig"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, sig long, n_words long, postings array<struct<term:long,pos:long,before:int,around:array<string>>>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, sig long, n_words long, postings array<struct<term:long,pos:long>>")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("sig"), F.col(text_col).alias("text"))
+
+
+def _same(left: str, right: str):
+    return F.col(f"{left}id").eqNullSafe(F.col(f"{right}id")) & (F.col(f"{left}sig") == F.col(f"{right}sig"))
+
+
+def _verified(docs: DataFrame, places: DataFrame, slack: int) -> DataFrame:
+    """(id, sig, window, start, n_words, kind) of the ``places`` (id, sig, window, words, n, pos, o) at which the documents' words are the window's.
+
+    ``pos`` is where a document has the window's word number ``o``. With ``slack``, a place that isn't the phrase is ``near`` if some ``n`` + ``slack``
+    words around ``pos`` hold all words of the window.
+    """
+    lists = places.groupBy(F.col("id").alias("w_id"), F.col("sig").alias("w_sig")).agg(F.collect_set(F.struct("window", "words", "n", "pos", "o")).alias("places"))
+    lists = F.broadcast(lists) if fits(places) else lists
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def judged(found: list[bytes], place: dict) -> tuple[int, int, str] | None:
+        wanted, n, start = place["words"].encode().split(b" "), place["n"], place["pos"] - place["o"]
+        if start >= 0 and found[start : start + n] == wanted:
+            return start, n, "phrase"
+        if slack:
+            for i in range(max(0, place["pos"] - n - slack + 1), place["pos"] + 1):
+                if set(wanted) <= set(part := found[i : i + n + slack]):
+                    return i, len(part), "near"
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, data, at in chunks(iter([whole])):
+                folded, start, end, doc, _ = _terms(data, at)
+                edges, raw, out = np.searchsorted(doc, np.arange(len(at))), folded.tobytes(), []
+                for i, (owner, sig, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
+                    found = [raw[a:b] for a, b in zip(start[edges[i] : edges[i + 1]].tolist(), end[edges[i] : edges[i + 1]].tolist(), strict=True)]
+                    out += [(owner, sig, place["window"], *hit) for place in asked if (hit := judged(found, place))]
+                kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["id", "sig", "window", "start", "n_words", "kind"])
+
+    asked = docs.join(lists, _same("", "w_")).select("id", "sig", "text", "places")
+    return asked.mapInArrow(run, f"id {kind}, sig long, window string, start long, n_words long, kind string").distinct()
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = 0, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, hits, owners) of all windows of ``items`` in ``docs``.
 
     hits: (id, sig, window, start, n_words, kind), one row per place: ``phrase`` for the window's words in order;
     with ``slack`` over 0 also ``near``, all of its words within that many words more, in any order.
     owners: (window, item_id).
 
-    Corpus counts pick each window's rarest term; a window with a term that no document has can't occur (as a phrase
-    or near) and is dropped. Only the rarest terms are indexed. Each list is shifted by the term's offset in the window, and the
-    neighbouring words are compared at the shifted places. The list of a frequent term isn't needed unless
-    a window has no rarer one; then it is as long as it is.
+    Corpus counts pick each window's two rarest terms; a window with a term that no document has can't occur (as a phrase
+    or near) and is dropped. Only those terms' postings are stored. Both lists, each shifted by its term's offset in the window, are intersected
+    within documents (for ``near``: brought within reach of each other); what they share are the places at which a window may stand, and there its words are
+    compared with the text. The list of a frequent term isn't needed unless a window has no rarer ones; then it is as long as it is.
     """
     own = saved(windows(items, "item_id", "text", size).withColumn("window", F.sha2(F.array_join("words", " "), 256)), "windows")
     owners = own.select("window", "item_id").distinct()
     distinct = own.groupBy("window").agg(F.first("words").alias("words"), F.first("terms").alias("terms"))
     places = distinct.select("window", F.posexplode("terms").alias("o", "term"))
-    counts = term_counts(docs, saved(places.select("term").distinct(), "terms"), text_col)
-    rarest = places.join(counts, "term", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term")).alias("r")).filter("r.n > 0")
-    sought = saved(distinct.join(rarest, "window").select("window", "words", F.size("words").alias("n"), F.col("r.term").alias("term"), F.col("r.o").alias("o")), "sought")
-    near = F.lit(slack) + F.col("n") - 1 if slack else F.lit(0)
-    anchors = saved(sought.groupBy("term").agg(F.max(F.greatest(F.col("o"), near)).alias("left"), F.max(F.greatest(F.col("n") - 1 - F.col("o"), near)).alias("right")), "anchors")
-    index = saved(positional_index(docs, anchors, id_col, text_col), "postings")
-
-    lists = index.filter(F.size("postings") > 0).dropDuplicates(["id", "sig"]).select("id", "sig", F.explode("postings").alias("p")).select("id", "sig", "p.*")
-    found = lists.join(small(sought, 100_000), "term")
-    phrase = (F.col("before") >= F.col("o")) & (F.slice("around", F.col("before") - F.col("o") + 1, F.col("n")) == F.col("words"))
-    hits = found.filter(phrase).select("id", "sig", "window", (F.col("pos") - F.col("o")).alias("start"), F.col("n").alias("n_words"), F.lit("phrase").alias("kind"))
-    if slack:
-        wide = F.expr(f"exists(sequence(1, size(around)), i -> forall(words, w -> array_contains(slice(around, i, n + {int(slack)}), w)))")
-        hits = hits.unionByName(found.filter(~phrase & wide).select("id", "sig", "window", (F.col("pos") - F.col("before")).alias("start"), F.size("around").alias("n_words"), F.lit("near").alias("kind")))
-    return index, hits, owners
+    terms = saved(places.select("term").distinct(), "terms")
+    counts = small(saved(term_counts(docs, terms, text_col, bits), "counts"))
+    ranked = places.join(counts, "term", "left").groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("r")).filter("r[0].n > 0")
+    sought = distinct.join(ranked, "window").select("window", F.array_join("words", " ").alias("words"), F.size("words").alias("n"), F.expr("r[0].term").alias("term"), F.expr("r[0].o").alias("o"), F.expr("get(r, 1).term").alias("term2"), F.expr("get(r, 1).o").alias("o2"))
+    sought = saved(sought, "sought")
+    rare = saved(sought.select(F.explode(F.array("term", "term2")).alias("term")).filter("term is not null").distinct(), "rare")
+    index = saved(positional_index(docs, rare, id_col, text_col, bits), "postings")
+
+    lists = index.select("id", "sig", F.inline("postings"))
+    first = lists.join(small(sought), "term")
+    second = lists.select(F.col("id").alias("s_id"), F.col("sig").alias("s_sig"), F.col("term").alias("s_term"), F.col("pos").alias("s_pos"))
+    gap = F.col("s_pos") - F.col("pos")
+    meets = F.abs(gap) < F.col("n") + slack if slack else gap == F.col("o2") - F.col("o")
+    both = first.filter("term2 is not null").join(second.join(small(rare), F.col("s_term") == F.col("term"), "left_semi"), _same("", "s_") & (F.col("term2") == F.col("s_term")) & meets)
+    columns = ("id", "sig", "window", "words", "n", "pos", "o")
+    found = saved(first.filter("term2 is null").select(*columns).unionByName(both.select(*columns)).distinct(), "places")
+    return index, _verified(_keyed(docs, id_col, text_col), found, slack), owners
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +179,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     A document's word is hit if it is inside any occurrence of a window. Null and empty texts have no words.
     Rows that repeat an id are judged by their own texts. Items without an id hit words but are not listed.
     Null and empty items have no window; items with the same window are all listed. Other columns of either table are not read.
-    Empty tables are fine: without items nothing is hit.
+    Without items nothing is hit; an empty table of documents gives an empty result. Very long texts are read whole.
     """
     index, hits, owners = matches(docs, items, size, id_col=id_col, text_col=text_col)
     hits = saved(hits, "hits")
