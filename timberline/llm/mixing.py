@@ -19,7 +19,7 @@ def words(text: Column | str) -> Column:
 
 def drawn(kind: str, key: Column, seed: int) -> Column:
     """A number in [0, 2^32) that depends on the key and the seed alone."""
-    text = F.concat(F.lit(f"{seed}/{kind}/"), F.coalesce(key.cast("string"), F.lit("\x00null")))
+    text = F.concat(F.lit(f"{seed}/{kind}/"), F.coalesce(key, F.lit("\x00null")))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
@@ -69,10 +69,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     Null sources form a source of their own, ordered last. Null and empty texts have size 0 and may be
     emitted, but take no words. Rows that repeat an id are counted as rows of their own, in any order among
-    themselves. Other columns of ``docs`` are not read unless in ``carry``. An empty table gives an empty result.
+    themselves; rows without an id stand in the order of their texts' hashes. Very long texts are counted whole, as one row. Other columns of ``docs`` are not read unless in ``carry``. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    light = saved(rows.select("id", "source", "size"), "sizes")  # words are counted once, and again only where other columns are carried
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\x00null/"), F.md5(text_or_empty(text_col).cast("binary"))))  # rows without an id are told apart by their texts
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).alias("source"), words(text_col).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    light = saved(rows.select("id", "key", "source", "size"), "sizes")  # words are counted once, and again only where other columns are carried
     rows = rows if carry else light
     classes = light.groupBy("source", size_class("size").alias("class")).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     classes = saved(classes, "classes")
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     def sliced(df: DataFrame) -> DataFrame:
         df = df.withColumn("class", size_class("size"))
         df = df.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c")), "left").drop("_s", "_c")
-        return df.withColumn("slice", drawn("slice", F.col("id"), seed) % F.col("slices"))
+        return df.withColumn("slice", drawn("slice", F.col("key"), seed) % F.col("slices"))
 
     rows = sliced(rows)
     parts = sliced(light).groupBy("source", "class", "slice").agg(F.count("*").alias("n"))
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     planned = plan.select(F.col("source").alias("_s2"), "source_size", "target")
     parts = small(saved(parts.join(planned, F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2"), "slices"))
 
-    inside = Window.partitionBy("source", "class", "slice").orderBy("size", "id")
+    inside = Window.partitionBy("source", "class", "slice").orderBy("size", "id", "key")
     numbered = rows.withColumn("n", F.row_number().over(inside))
     numbered = numbered.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c")) & (F.col("slice") == F.col("_p")), "left")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -116,7 +117,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null/' || md5(coalesce(text, ''))) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 c AS (SELECT *, CASE WHEN size < 16 THEN size ELSE CAST((len(bin(size)) - 1) * 8 + floor(size * 8 / pow(2.0, len(bin(size)) - 1)) - 8 + 100 AS BIGINT) END AS class FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS top FROM s),
@@ -128,10 +129,10 @@ b AS (SELECT *, min(CASE WHEN (pool - full_before) * w <= top * open_w THEN k EN
 g AS (SELECT max(CASE WHEN k = first_k THEN full_before END) AS first_full, max(CASE WHEN k = first_k THEN open_w END) AS first_open FROM b),
 t AS (SELECT source, source_size, CASE WHEN first_k IS NULL OR k < first_k THEN top ELSE least(top, (pool - first_full) * w / first_open) END AS target FROM b, g),
 n AS (SELECT c.*, t.source_size, t.target,
-  CAST('0x' || substr(md5('17/slice/' || coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null')), 1, 8) AS BIGINT)
+  CAST('0x' || substr(md5('17/slice/' || key), 1, 8) AS BIGINT)
     % CAST(ceil(count(*) OVER (PARTITION BY c.source, class) / 20000.0) AS BIGINT) AS slice
   FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, slice, size, doc_id) AS rnk,
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, slice, size, doc_id NULLS FIRST, key) AS rnk,
   CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each,
   CAST('0x' || substr(md5('17/offset/' || coalesce(source, chr(0) || 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS off
   FROM n)

@@ -20,6 +20,8 @@ SHARD = 4096
 BANDS, BAND = 12, 4
 #: Texts of a group that are decided at once, and that all others of the group are then held against; and how many others a task takes.
 LEADERS, PART = 256, 2048
+#: Parts of a group whose first texts are sought apart.
+PARTS = 16
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -183,10 +185,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     roots = connected(links(nodes.select("fp"), radius, shard))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # of the fingerprints that have links; written tables on both sides, so that joins are split at a giant component or a fingerprint with very many rows
+    linked = saved(nodes.join(small(saved(roots, "roots")), nodes.fp == F.col("node")).select("fp", "first", "root"), "linked")
+    least = small(saved(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least"))
+    named = linked.join(least, "root").select(F.col("fp").alias("_f"), "component_id")
+    named = saved(nodes.join(small(saved(named, "named")), nodes.fp == F.col("_f"), "left").select("fp", F.when(F.col("_f").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")), "components")
+    return prints.join(small(named), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _shingles(text: str | None, size: int) -> np.ndarray:
@@ -251,8 +255,10 @@ def _judged(open_: DataFrame, least: float, leaders: int) -> DataFrame:
     A root's leaders are its first ``leaders`` rows. They meet each part of the root's other rows, so a task holds
     one root's leaders and one row at a time, whatever the root's size.
     """
-    order = Window.partitionBy("root").orderBy("nameless", "first", "sig")
-    first = saved(open_.drop("words").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= leaders).select("sig", "k"), "leaders")
+    by, first = ("nameless", "first", "sig"), open_.select("root", "nameless", "first", "sig", F.pmod(F.xxhash64("sig"), F.lit(PARTS)).alias("part"))
+    for key in (("root", "part"), ("root",)):  # the first rows of each root are among the first of its parts, so no task sees a whole root
+        first = first.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).filter(F.col("k") <= leaders)
+    first = saved(first.select("sig", "k"), "leaders")
     parts = open_.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
     rows = open_.join(first, "sig", "left").join(parts, "root")
     own = F.when(F.col("k").isNull(), F.array(F.pmod(F.xxhash64("sig"), F.col("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
