@@ -156,3 +156,15 @@ def test_a_shared_folder_is_asked_for(spark):
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_postings_of_odd_rows(spark):
+    """Null lists, null slots, repeated words, and entries that share none."""
+    rows = [(1, ["b", None, "a", "b"], []), (2, None, ["f"]), (3, [], None), (4, ["a"], ["f", "g"]), (5, [None], [])]
+    df = spark.createDataFrame(rows, "id long, content_tokens array<string>, flags array<string>").coalesce(1)
+    from timberline.functions.text import postings, with_term
+
+    posted = postings(df, ("content",))
+    assert sorted(map(tuple, posted.collect())) == [("content", "a", 1, [3]), ("content", "a", 4, [1]), ("content", "b", 1, [1, 4]), ("flag", "f", 2, [1]), ("flag", "f", 4, [1]), ("flag", "g", 4, [2])]
+    assert sorted(r.id for r in with_term(df, posted, "A").collect()) == [1, 4] and [r.id for r in with_term(df, posted, "g", "flag").collect()] == [4]
+    assert postings(df.filter("false"), ("content",)).count() == 0

@@ -17,9 +17,8 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, file_path, file_name, ts, channel, elapsed_ms, level, source, content, line_number. Contents are whole texts of documents."""
     e, d = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = d.count()
-    docs = d.select("doc_id", F.rtrim("text", F.lit(" \n\t")).alias("body"))
+    body = F.rtrim("text", F.lit(" \n\t"))
     i, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    rows = e.join(docs, i % n == F.col("doc_id"))
     job = F.when(user % 3 == 0, F.concat(F.lit("job-"), F.md5(user.cast("string").cast("binary")), F.lit("/"))).otherwise("")
     name = F.concat(F.lit("app-"), (user % 5).cast("string"), F.lit(".log"))
     level = F.when(kind == "error", F.when(i % 7 == 0, "error").otherwise("ERROR")).when(kind == "purchase", "WARN").when(kind == "click", "INFO").when(kind == "view", "DEBUG").otherwise("TRACE")
@@ -27,20 +26,24 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 13 == 0, "com.acme.monitoring.memory.Gc").when(i % 17 == 0, "SCRIPT.run").when(i % 19 == 0, "Disk space message received")
         .when(i % 4 == 0, F.concat(F.lit("org.lib."), kind)).otherwise(F.concat(F.lit("com.acme."), kind, F.lit(".k")))
     )
-    content = (
+    said = (
         F.when(i % 50 == 0, "Changing state from PENDING to RUNNING").when(i % 97 == 0, F.concat(F.lit("killing current process... "), user.cast("string")))
         .when(i % 101 == 0, F.concat(F.lit("Problem processing item "), i.cast("string"))).when(i % 103 == 0, "Cannot flush: The Session is closed")
-        .when(i % 29 == 0, F.concat(F.lit("Unexpected exception in stage "), (i % 9).cast("string"))).otherwise(F.col("body"))
+        .when(i % 29 == 0, F.concat(F.lit("Unexpected exception in stage "), (i % 9).cast("string")))
     )
-    rows = rows.select(
+    rows = e.select(
         (i + 1).alias("id"), F.concat(F.lit("/logs/"), job, name).alias("file_path"), name.alias("file_name"),
         F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts"),
         F.when(user % 11 == 0, "SCRIPT").otherwise(F.concat(F.lit("Worker-"), user.cast("string"))).alias("channel"),
-        F.floor(F.col("value") * 100).cast("long").alias("elapsed_ms"), level.alias("level"), source.alias("source"), content.alias("content"),
+        F.floor(F.col("value") * 100).cast("long").alias("elapsed_ms"), level.alias("level"), source.alias("source"), said.alias("said"), (i % n).alias("doc"),
     )
+    # lines are counted without the texts, which are joined last and stay where they are
+    breaks = d.select("doc_id", (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))).alias("breaks"))
     before = Window.partitionBy("file_path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    lines = 1 + F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
-    return rows.withColumn("line_number", (1 + F.coalesce(F.sum(lines).over(before), F.lit(0))).cast("long"))
+    lines = F.when(F.col("said").isNull(), F.col("breaks")).otherwise(0) + 1
+    placed = rows.select("id", "file_path", "said", "doc").join(breaks, F.col("doc") == F.col("doc_id")).select("id", (1 + F.coalesce(F.sum(lines).over(before), F.lit(0))).cast("long").alias("line_number"))
+    whole = rows.join(placed, "id").join(d.select("doc_id", body.alias("body")), F.col("doc") == F.col("doc_id"))
+    return whole.select("id", "file_path", "file_name", "ts", "channel", "elapsed_ms", "level", "source", F.coalesce("said", "body").alias("content"), "line_number")
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
