@@ -168,3 +168,11 @@ def test_postings_of_odd_rows(spark):
     assert sorted(map(tuple, posted.collect())) == [("content", "a", 1, [3]), ("content", "a", 4, [1]), ("content", "b", 1, [1, 4]), ("flag", "f", 2, [1]), ("flag", "f", 4, [1]), ("flag", "g", 4, [2])]
     assert sorted(r.id for r in with_term(df, posted, "A").collect()) == [1, 4] and [r.id for r in with_term(df, posted, "g", "flag").collect()] == [4]
     assert postings(df.filter("false"), ("content",)).count() == 0
+
+
+def test_possessives_and_acronyms(spark):
+    from timberline.functions.text import tokens, words_of
+
+    text = "The dog's end. U.S.A. and u.s. (com.acme.add.i) v1.2.3. x.y a. it's o'neil's 3,5. www.host.org."
+    (got,) = spark.createDataFrame([(text,)], "t string").select(tokens("t").alias("t")).first()
+    assert got == words_of(text) == [None, "dog", "end", "usa", None, "us", "com.acme.add.i", "v1.2.3", "x.y", None, None, "o'neil", "3,5", "www.host.org"]

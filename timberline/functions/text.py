@@ -10,15 +10,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.schema import STOP_WORDS, TOKEN
+from timberline.schema import ACRONYM, STOP_WORDS, TOKEN
 
 TEXT_FIELDS = ("content", "channel", "level", "source")
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-case words in order; stop words are null slots, so that positions stay."""
+    """Lower-case words in order, without a possessive 's and without the dots of acronyms; stop words are null slots, so that positions stay."""
     text = F.col(text) if isinstance(text, str) else text
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
+    dotless = lambda x: F.when(x.rlike(ACRONYM), F.translate(x, ".", "")).otherwise(cut(x, 1))
+    found = F.transform(found, lambda x: F.when(x.endswith("."), dotless(x)).when(x.endswith("'s"), cut(x, 2)).otherwise(x))
     return F.transform(found, lambda x: F.when(~x.isin(*STOP_WORDS), x))
 
 
@@ -26,7 +29,8 @@ def words_of(text: str) -> list[str | None]:
     """The same of a search text, on the driver: ``None`` for stop words."""
     import regex
 
-    return [None if x in STOP_WORDS else x for x in regex.findall(TOKEN, text.lower())]
+    words = [(x.replace(".", "") if regex.match(ACRONYM, x) else x[:-1]) if x.endswith(".") else x.removesuffix("'s") for x in regex.findall(TOKEN, text.lower())]
+    return [None if x in STOP_WORDS else x for x in words]
 
 
 def analyse(entries: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:

@@ -16,7 +16,7 @@ from timberline.operators import entries as E
 from timberline.operators import review as R
 from timberline.operators.order import numbered
 from timberline.plans.log_entries import FLAGS_SQL, analysed, flagged, loaded, log_entries, original_path, parsed, rendered, scanned, sql
-from timberline.schema import STOP_WORDS, TOKEN
+from timberline.schema import ACRONYM, STOP_WORDS, TOKEN
 from timberline.sources import scan, sinks
 from timberline.sources.store import workspace
 
@@ -293,7 +293,9 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def _tokens_sql(field: str) -> str:
-    return f"list_transform(regexp_extract_all(lower({field}), '{_TOK}'), lambda x: CASE WHEN x IN ({_STOP}) THEN NULL ELSE x END)"
+    dotless = f"CASE WHEN regexp_matches(x, '{ACRONYM}') THEN replace(x, '.', '') ELSE substr(x, 1, length(x) - 1) END"
+    words = f"list_transform(regexp_extract_all(lower({field}), '{_TOK}'), lambda x: CASE WHEN ends_with(x, '.') THEN {dotless} WHEN ends_with(x, '''s') THEN substr(x, 1, length(x) - 2) ELSE x END)"
+    return f"list_transform({words}, lambda x: CASE WHEN x IN ({_STOP}) THEN NULL ELSE x END)"
 
 
 def _shown(tokens: Column) -> Column:

@@ -18,8 +18,9 @@ HEADER_FIELDS = {
 #: A header line, any case; one group for each field. Only a line feed ends a line.
 HEADER = "(?isd)^" + "".join(f"({held}){then}" for held, then in HEADER_FIELDS.values())
 
-#: Words with apostrophes, hosts and addresses, numbers with signs inside.
-TOKEN = r"[\p{L}\p{N}]+(?:'\p{L}+|[.@][\p{L}\p{N}]+|[-_/,][\p{L}]*\p{N}[\p{L}\p{N}]*)*"
+#: Words with apostrophes, hosts and addresses, numbers with signs inside; and a dot that follows, by which acronyms are told.
+TOKEN = r"[\p{L}\p{N}]+(?:'\p{L}+|[.@][\p{L}\p{N}]+|[-_/,][\p{L}]*\p{N}[\p{L}\p{N}]*)*\.?"
+ACRONYM = r"^(?:\p{L}\.)+$"
 
 # The English stop words of the published analyser.
 STOP_WORDS = (
