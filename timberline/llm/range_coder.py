@@ -1,7 +1,7 @@
 """An adaptive context-mixing range coder for token ids, over many blocks at once.
 
-Four predictors say what the next id may be: order 2 names the id that last followed the same two ids, order 1 the last two
-different ones that followed the same id, and order 0 counts ids: frequent ids each for themselves, others in classes of neighbouring ids, whose members
+Four predictors say what the next id may be: order 2 names the id that last followed the same two ids, order 1 the one that last
+followed the same id, and order 0 counts ids: frequent ids each for themselves, others in classes of neighbouring ids, whose members
 share by a table in the segment's head; that table also says where a block's counts start. All counts go up with what comes. The orders'
 predictions are mixed with weights that each block learns, apart for how often orders 1 and 2 were right of late: a weight grows as its
 predictor gave what came more than the mix did. The id is coded by its share of the mix, in a 64-bit range without
@@ -22,7 +22,7 @@ import numpy as np
 #: Contexts of an order that a block tells apart, as a power of two.
 SLOT_BITS = 10
 #: Classes of order 0 at most. Their shares sum to 2^CLASS_BITS, those of a class's members to 2^MEMBER_BITS, and the weights of a mix to 2^WEIGHT_BITS.
-CLASSES, CLASS_BITS, MEMBER_BITS, WEIGHT_BITS = 256, 12, 11, 8
+CLASSES, CLASS_BITS, MEMBER_BITS, WEIGHT_BITS = 96, 11, 12, 8
 #: What a block's counts of all classes sum to at its start; an id counts one more.
 START = 1024
 RATE = np.float32(0.03)
@@ -100,38 +100,39 @@ class _Model:
 
     def __init__(self, lanes: int, longest: int, prior: Prior):
         self.prior = prior
-        self.sums = np.tile(prior.ahead.astype(np.int16 if longest + START < 1 << 15 else np.int32), (lanes, 1))  # counts of the classes before
-        self.flat, self.wide, self.steps = self.sums.reshape(-1), len(prior.ahead), np.arange(len(prior.ahead), dtype=np.int16)
-        self.every, self.next16 = np.arange(0, self.wide, 16, dtype=np.int32), np.arange(17)
+        self.lanes, kind = lanes, np.int16 if longest + START < 1 << 15 else np.int32
+        self.sums = np.repeat(prior.ahead.astype(kind)[:, None], lanes, axis=1)  # counts of the classes before, a column for each lane
+        self.flat, self.steps = self.sums.reshape(-1), np.arange(len(prior.ahead), dtype=np.int16)[:, None]
+        self.every, self.next16 = np.arange(0, len(prior.ahead), 16, dtype=np.int32)[:, None], np.arange(17)[:, None]
         self.total = START
-        self.named = np.full((3, lanes * _SLOTS), NONE, np.uint16)  # order 2, order 1, order 1 before that
+        self.named = np.full((2, lanes * _SLOTS), NONE, np.uint16)  # order 2, order 1
         self.right = np.zeros((2, lanes * _SLOTS), np.uint8)
-        self.weights = np.empty((lanes * 16, 4), np.float32)
-        self.weights[:] = np.array([0.4, 0.3, 0.15, 0.15], np.float32)
+        self.weights = np.empty((lanes * 16, 3), np.float32)
+        self.weights[:] = np.array([0.4, 0.35, 0.25], np.float32)
         self.lane = np.arange(lanes)
         self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def classes(self, m: int, group: np.ndarray) -> np.ndarray:
         """Where the class's share of order 0 begins, in each lane; every class has at least one unit."""
-        before = self.flat.take(self.lane[:m] * self.wide + group).astype(np.int64)
+        before = self.flat.take(group * self.lanes + self.lane[:m]).astype(np.int64)
         return group + before * ((1 << CLASS_BITS) - self.prior.size) // self.total
 
     def predict(self, m: int) -> None:
-        """Sets ``ids`` (3 rows of named ids) and the whole-number weights ``q`` of them and ``q0`` of order 0."""
+        """Sets ``ids`` (2 rows of named ids) and the whole-number weights ``q`` of them and ``q0`` of order 0."""
         one, base = (self.one[:m] + np.uint32(1)) * _K1, self.lane[:m] * _SLOTS
         self.slot1 = (one >> _SHIFT) + base
         self.slot2 = ((((one ^ (self.two[:m] * _K2)) * _K3)) >> _SHIFT) + base
-        self.ids = np.stack([self.named[0].take(self.slot2), self.named[1].take(self.slot1), self.named[2].take(self.slot1)]).astype(np.int64)
+        self.ids = np.stack([self.named[0].take(self.slot2), self.named[1].take(self.slot1)]).astype(np.int64)
         self.right2, self.right1 = self.right[0].take(self.slot2), self.right[1].take(self.slot1)
         self.set = self.lane[:m] * 16 + (self.right1 * 4 + self.right2)
         self.w = self.weights.take(self.set, axis=0).T.copy()
         self.q = (self.w[1:] * np.float32(_WHOLE - 16)).astype(np.int64) + 1
         self.q *= self.ids != NONE
-        self.q0 = _WHOLE - self.q.sum(axis=0)
+        self.q0 = _WHOLE - self.q[0] - self.q[1]
 
     def order0(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the share of each lane's id begins in order 0, and how wide it is."""
-        group = self.prior.group.take(own)
+        group = self.prior.group.take(own).astype(np.int64)
         begin = self.classes(len(own), group)
         width = self.classes(len(own), group + 1) - begin
         return (begin << MEMBER_BITS) + width * self.prior.before.take(own), width * self.prior.share.take(own)
@@ -140,22 +141,23 @@ class _Model:
         """Where the share of each lane's id begins in the mix, and how wide it is."""
         self.hit = self.ids == own
         before, self.share = self.order0(own)
-        self.given = (self.q * self.hit).sum(axis=0)
-        begin = self.q0 * before + ((self.q * (self.ids < own)).sum(axis=0) << SHARE_BITS)
+        hit, less = self.q * self.hit, self.q * (self.ids < own)
+        self.given = hit[0] + hit[1]
+        begin = self.q0 * before + ((less[0] + less[1]) << SHARE_BITS)
         return begin.astype(np.uint64), (self.q0 * self.share + (self.given << SHARE_BITS)).astype(np.uint64)
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The id in whose share of the mix each number falls."""
-        ids, q = self.ids, self.q
-        out, below = np.full(len(v), -1), np.zeros(len(v), np.int64)
-        for k in range(3):
-            there = ids[k] != NONE
-            named = np.where(there, ids[k], self.prior.present[0])
+        """The id in whose share of the mix each number falls: a named one, or else one of order 0 once the named ones before it are taken off."""
+        (one, two), (q, r) = self.ids, self.q
+        out, below, same = np.full(len(v), -1), np.zeros(len(v), np.int64), one == two
+        for own, other, mine, its in ((one, two, q, r), (two, one, r, q)):
+            there = own != NONE
+            named = np.where(there, own, self.prior.present[0])
             before, share = self.order0(named)
-            begin = self.q0 * before + ((q * (ids < named)).sum(axis=0) << SHARE_BITS)
-            past = v >= begin + self.q0 * share + ((q * (ids == named)).sum(axis=0) << SHARE_BITS)
+            begin = self.q0 * before + ((its * (other < named)) << SHARE_BITS)
+            past = v >= begin + self.q0 * share + ((mine + its * same) << SHARE_BITS)
             np.copyto(out, named, where=there & (v >= begin) & ~past)
-            below += q[k] * (there & past)
+            below += mine * (there & past)
         rest = np.flatnonzero(out < 0)
         if len(rest):
             out[rest] = self.of_order0((v[rest] - (below[rest] << SHARE_BITS)) // self.q0[rest], rest)
@@ -163,17 +165,14 @@ class _Model:
 
     def of_order0(self, x: np.ndarray, lanes: np.ndarray) -> np.ndarray:
         """The ids in whose shares of order 0 the numbers fall: every 16th class first, then the 16 that are left."""
-        scale, total, base = np.int32((1 << CLASS_BITS) - self.prior.size), np.int32(self.total), lanes * self.wide
-        top = (x >> MEMBER_BITS).astype(np.int32)[:, None]
-        coarse = self.every + self.sums[:, ::16][lanes] * scale // total
-        at = ((coarse <= top).sum(axis=1) - 1) * 16
-        fine = np.minimum(at[:, None] + self.next16, self.prior.size)
-        begins = fine.astype(np.int32) + self.flat.take(base[:, None] + fine) * scale // total
-        k = (begins[:, :16] <= top).sum(axis=1) - 1
-        own = np.minimum(at + k, self.prior.size - 1)
-        k = own - at
+        scale, total, top = np.int32((1 << CLASS_BITS) - self.prior.size), np.int32(self.total), (x >> MEMBER_BITS).astype(np.int32)
+        coarse = self.every + self.sums[::16].take(lanes, axis=1) * scale // total
+        at = ((coarse <= top).sum(axis=0) - 1) * 16
+        fine = np.minimum(at + self.next16, self.prior.size)
+        begins = fine.astype(np.int32) + self.flat.take(fine * self.lanes + lanes) * scale // total
+        own = np.minimum(at + (begins[:16] <= top).sum(axis=0) - 1, self.prior.size - 1)
         row = np.arange(len(x))
-        begin, end = begins[row, k].astype(np.int64), begins[row, k + 1]
+        begin, end = begins[own - at, row].astype(np.int64), begins[own - at + 1, row]
         return self.prior.member(own, (x - (begin << MEMBER_BITS)) // (end - begin))
 
     def learn(self, own: np.ndarray) -> None:
@@ -185,15 +184,14 @@ class _Model:
         w = self.w
         w[0] *= (1 - RATE) + gain * p0
         w[1:] *= (1 - RATE) + gain * self.hit
-        w /= w[0] + w[1] + w[2] + w[3]
+        w /= w[0] + w[1] + w[2]
         self.weights[self.set] = w.T
-        self.sums[:m] += self.steps > self.prior.group.take(own).astype(np.int16)[:, None]
+        self.sums[:, :m] += self.steps > self.prior.group.take(own).astype(np.int16)
         self.total += 1
         id16 = own.astype(np.uint16)
         self.right[0][self.slot2] = np.where(self.hit[0], np.minimum(self.right2 + 1, 3), 0)
         self.named[0][self.slot2] = id16
         self.right[1][self.slot1] = np.where(self.hit[1], np.minimum(self.right1 + 1, 3), 0)
-        self.named[2][self.slot1] = np.where(self.hit[1], self.ids[2], self.ids[1]).astype(np.uint16)
         self.named[1][self.slot1] = id16
         self.two[:m] = self.one[:m]
         self.one[:m] = own
