@@ -137,7 +137,8 @@ def merge(data: np.ndarray, shard: np.ndarray, length: int = LENGTH) -> np.ndarr
     order) and what repeats inside it. The transforms are then merged by refining an interleave of them, which leaves each shard's own order as it is
     and compares no suffixes: the shards first stand one after another, as one block. In each round all that a block holds looks at its next four
     symbols of the transform, and the suffixes that begin with these are dealt into the order of the symbols, stable; so after k rounds the interleave is in order
-    by the first 4k bytes, and a block is an interval with that common prefix. A block that one shard alone fills is in order already and leaves. What is left at ``length`` bytes are the
+    by the first 4k bytes, and a block is an interval with that common prefix. A block that one shard alone fills is in order already and leaves;
+    suffixes with fewer than ``length`` bytes before them can't get there and aren't followed. What is left at ``length`` bytes are the
     intervals that several shards share.
     """
     if len(data) < 2:
@@ -151,7 +152,10 @@ def merge(data: np.ndarray, shard: np.ndarray, length: int = LENGTH) -> np.ndarr
         before = places - size
         ahead = np.maximum(before, 0)  # of suffixes at a string's begin the symbol would be from another string
         transforms[size] = word[ahead], np.where((before >= 0) & ~ended[ahead], row[ahead], -1).astype(np.int32)
-    order, block = np.arange(len(data), dtype=np.int32), np.zeros(len(data), np.int32)
+    slot = np.arange(len(data))
+    begin = np.maximum.accumulate(np.concatenate([[0], np.where(data[:-1] == _END, slot[1:], 0)]))  # of the string that a place is in
+    order = np.flatnonzero((slot - begin >= length)[places]).astype(np.int32)  # the others have too little before them
+    block = np.zeros(len(order), np.int32)
     for size in [1] * (length % 4) + [4] * (length // 4):
         symbols, previous = transforms[size]
         target = previous.take(order)
