@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import decontaminate, exact_dedup, importance, mixing, repeats, simhash, token_output, toxicity, url_filter, warc
+from timberline.llm import clusters, decontaminate, exact_dedup, filter_audit, importance, mixing, packing, repeats, simhash, token_output, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_toxicity_chain": toxicity.op10_toxicity_chain,
+        "op11_best_fit_packing": packing.op11_best_fit_packing,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_incremental_kmeans": clusters.op13_incremental_kmeans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.OP4_SQL, "op7_url_templates": url_filter.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {
+        "op4_mix_sources": mixing.OP4_SQL,
+        "op7_url_templates": url_filter.OP7_SQL,
+        "op8_decontaminate": decontaminate.OP8_SQL,
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
+        "op13_incremental_kmeans": clusters.OP13_SQL,
+    }

@@ -87,6 +87,17 @@ class Encoder:
             yield np.frombuffer(self._ids(first).tobytes() + b"".join(map(self.known.__getitem__, rest)), "<u2")
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str | None = None) -> Encoder:
+    """The process's encoder for a vocabulary file; a Python worker's later tasks find the words that its earlier ones learned."""
+    path = path or tokenizer_path()
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A segment: magic, sizes, the table of shares of its ids; for each block the number of its ids, CRC-32 of them, and bytes; then the blocks."""
     size = max(512, min(block, len(ids) // 512))
