@@ -1,7 +1,8 @@
 import pytest
 
 from tests.compare import check, connect
-from timberline.plans.queries import QUERIES, SQL
+from timberline.plans import queries, stored  # noqa: F401  they register what they have
+from timberline.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

@@ -10,15 +10,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.schema import ACRONYM, STOP_WORDS, TOKEN
+from timberline.schema import ACRONYM, LONE, STOP_WORDS, TOKEN
 
 TEXT_FIELDS = ("content", "channel", "level", "source")
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-case words in order, without a possessive 's and without the dots of acronyms; stop words are null slots, so that positions stay."""
+    """Lower-case words in order, without a possessive 's and without the dots of acronyms; stop words are null slots, so that positions stay.
+
+    Each Chinese or Japanese character is a word.
+    """
     text = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_replace(F.lower(text), LONE, " $0 "), F.lit(TOKEN), F.lit(0))
     cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
     dotless = lambda x: F.when(x.rlike(ACRONYM), F.translate(x, ".", "")).otherwise(cut(x, 1))
     found = F.transform(found, lambda x: F.when(x.endswith("."), dotless(x)).when(x.endswith("'s"), cut(x, 2)).otherwise(x))
@@ -29,7 +32,7 @@ def words_of(text: str) -> list[str | None]:
     """The same of a search text, on the driver: ``None`` for stop words."""
     import regex
 
-    words = [(x.replace(".", "") if regex.match(ACRONYM, x) else x[:-1]) if x.endswith(".") else x.removesuffix("'s") for x in regex.findall(TOKEN, text.lower())]
+    words = [(x.replace(".", "") if regex.match(ACRONYM, x) else x[:-1]) if x.endswith(".") else x.removesuffix("'s") for x in regex.findall(TOKEN, regex.sub(LONE, r" \g<0> ", text.lower()))]
     return [None if x in STOP_WORDS else x for x in words]
 
 
@@ -71,9 +74,15 @@ def postings(analysed: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> Data
 
 
 def with_term(entries: DataFrame, posted: DataFrame, word: str, field: str = "content") -> DataFrame:
-    """The entries that a table of postings names for a word; their texts aren't looked at. A table that is stored by field and term reads that term's rows only."""
-    ids = posted.filter((F.col("field") == field) & (F.col("term") == (word if field == "flag" else word.lower()))).select("id")
-    return entries.join(ids, "id", "left_semi")
+    """The entries that a table of postings names for a word; their texts aren't looked at. A table that is stored by field and term reads that term's rows only.
+
+    The word is analysed as texts are; a stop word is looked up as it is, and has no postings. A word that is analysed to several is a phrase, for
+    which :mod:`timberline.operators.index` has a search.
+    """
+    wanted = [word] if field == "flag" else [w for w in words_of(word) if w is not None] or [word.lower()]
+    if len(wanted) > 1:
+        raise ValueError(f"{word!r} is a phrase of {len(wanted)} words")
+    return entries.join(posted.filter((F.col("field") == field) & (F.col("term") == wanted[0])).select("id"), "id", "left_semi")
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:

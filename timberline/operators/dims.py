@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators.order import numbered
-from timberline.sources.store import small
+from timberline.sources.store import BROADCAST_ROWS, small, written
 
 #: fact column -> entry column
 DIMENSIONS = {"file_id": "file_path", "channel_id": "channel", "level_id": "level", "source_id": "source"}
@@ -21,27 +23,78 @@ def table_stats(entries: DataFrame) -> DataFrame:
     return entries.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("max_id"), F.count("*").alias("n"))
 
 
-def dimension(entries: DataFrame, column: str) -> DataFrame:
-    """(id, value): different values numbered in the order in which they first come; a written table."""
-    first = entries.groupBy(F.col(column).alias("value")).agg(F.min("id").alias("first"))
-    return numbered(first, "first", name="id").select("id", "value")
-
-
-def encode_fact(entries: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Entries with ids in place of the dimensions' values. Dimensions are broadcast while they are few rows, so that no value's entries meet in one task."""
+def dimensions(entries: DataFrame, stored: dict[str, DataFrame] | None = None, columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """key -> (id, value) for each of ``columns`` (key -> entry column): different values numbered in the order in which they first come.
+
+    One pass over the entries finds the first id of every value of every column. With ``stored`` dimensions of earlier loads, their values keep their ids, and new
+    ones are numbered after the highest. Null values have no id, as facts without a value aren't decoded.
+    """
+    columns = DIMENSIONS if columns is None else columns
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in columns.items()]))
+    first = entries.select("id", pairs.alias("p")).filter("p.value is not null").groupBy("p.key", "p.value").agg(F.min("id").alias("first"))
+    first = written(first, "values")
+    out = {}
+    for key in columns:
+        new, old = first.filter(F.col("key") == key), (stored or {}).get(key)
+        top = 0
+        if old is not None:
+            new = new.join(small(old.select("value")), "value", "left_anti")
+            top = table_stats(old).first()["max_id"]
+        new = numbered(new, "first", "value", name="id", after=top).select("id", "value")
+        out[key] = new if old is None else old.select("id", "value").unionByName(new)
+    return out
+
+
+def dimension(entries: DataFrame, column: str, stored: DataFrame | None = None) -> DataFrame:
+    """(id, value) of one column, as :func:`dimensions`; a written table."""
+    return dimensions(entries, None if stored is None else {column: stored}, {column: column})[column]
+
+
+def _joined(rows: DataFrame, dim: DataFrame, on: str, most: int) -> DataFrame:
+    """``rows`` with the other column of ``dim``, by ``on``; inner.
+
+    A dimension of up to ``most`` rows is broadcast. Of a larger one the part that frequent values need is: those that more than one row in 4 x the
+    number of shuffle partitions has, of which there can't be more than that number. Rows of all other values are shuffled, and none of those fills a task.
+    """
+    dim = written(dim, "dim")
+    joined = small(dim, most)
+    if joined is not dim:
+        return rows.join(joined, on)
+    spots = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(rows.groupBy(on).agg(F.count("*").alias("_n")), "counts")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    frequent = written(dim.join(F.broadcast(counts.filter(F.col("_n") * spots > total).select(on)), on, "left_semi"), "frequent")  # at most ``spots`` rows
+    (other,) = [c for c in dim.columns if c != on]
+    marked = rows.join(F.broadcast(frequent), on, "left")
+    return marked.filter(F.col(other).isNotNull()).unionByName(marked.filter(F.col(other).isNull()).drop(other).join(dim, on))
+
+
+def encode_fact(entries: DataFrame, dims: dict[str, DataFrame], most: int = BROADCAST_ROWS) -> DataFrame:
+    """Entries with ids in place of the dimensions' values. No value's entries meet in one task, however many they are: see :func:`_joined`."""
     for key, column in DIMENSIONS.items():
-        entries = entries.join(small(dims[key].select(F.col("id").alias(key), F.col("value").alias(column))), column)
+        entries = _joined(entries, dims[key].select(F.col("id").alias(key), F.col("value").alias(column)), column, most)
     return entries.select("id", "line_number", "file_id", "ts", "channel_id", "elapsed_ms", "level_id", "source_id", "content", F.array_join("flags", " ").alias("flags"))
 
 
-def decode_fact(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """The star join: facts with their dimensions' values; broadcasts as in :func:`encode_fact`."""
+def decode_fact(fact: DataFrame, dims: dict[str, DataFrame], most: int = BROADCAST_ROWS) -> DataFrame:
+    """The star join: facts with their dimensions' values; joined as in :func:`encode_fact`."""
     for key, column in DIMENSIONS.items():
-        fact = fact.join(small(dims[key].select(F.col("id").alias(key), F.col("value").alias(column))), key)
+        fact = _joined(fact, dims[key].select(F.col("id").alias(key), F.col("value").alias(column)), key, most)
     return fact.drop(*DIMENSIONS)
 
 
+#: Ids in one condition that a scan can hold against a Parquet filter.
+_AT_ONCE = 10
+
+
 def fetch_by_ids(entries: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
-    """The entries with these ids, by time. Few ids are a list; many are a table with ``id``."""
-    found = entries.filter(F.col("id").isin(*ids)) if isinstance(ids, list) else entries.join(ids, "id", "left_semi")
+    """The entries with these ids, by time. Few ids are a list; many are a table with ``id``.
+
+    A list is looked up in the ids' Bloom filters, where a stored table has them (:func:`timberline.sources.sinks.write_entries`): row groups without any of them aren't read.
+    """
+    if isinstance(ids, list):
+        some = [F.col("id").isin(*ids[i : i + _AT_ONCE]) for i in range(0, len(ids), _AT_ONCE)]
+        found = entries.filter(reduce(Column.__or__, some) if some else F.lit(False))
+    else:
+        found = entries.join(ids, "id", "left_semi")
     return found.orderBy("ts", "line_number", "id")

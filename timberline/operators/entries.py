@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.functions.fields import date_key, header_part, is_header, parse_elapsed, parse_timestamp, trimmed
+from timberline.functions.fields import date_key, header, parse_elapsed, parse_timestamp, trimmed
 
 
 def detect_headers(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("is_header", is_header("value"))
+    """Adds ``head``, the fields of a header line (null for others), and ``is_header``."""
+    return lines.withColumn("head", header("value")).withColumn("is_header", F.col("head").isNotNull())
 
 
 def stitch(lines: DataFrame, newline: str = "\n") -> DataFrame:
-    """(file_path, file_name, line_number, header, content): one row per entry, from numbered lines with ``is_header``.
+    """(file_path, file_name, line_number, header, head, content): one row per entry, from numbered lines with ``head`` and ``is_header``.
 
     A line belongs to the last header above it; lines before a file's first header go before that entry's content. A file
     without a header has no entry. Within a block the last header is a window's; across blocks it comes
@@ -27,17 +28,18 @@ def stitch(lines: DataFrame, newline: str = "\n") -> DataFrame:
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*key, F.max("last").over(before).alias("before"), F.min("first").over(Window.partitionBy("file_path")).alias("first"))
     rows = own.join(blocks, key).withColumn("entry", F.coalesce("own", "before", "first")).filter("entry is not null")
-    text = F.when(F.col("is_header"), header_part("value", "content")).otherwise(F.col("value"))
+    text = F.when(F.col("is_header"), F.col("head.content")).otherwise(F.col("value"))
     parts = F.array_sort(F.collect_list(F.struct("line_number", text.alias("text"))))
     return rows.groupBy("file_path", "file_name", "entry").agg(
         F.max(F.when(F.col("line_number") == F.col("entry"), F.col("value"))).alias("header"),
+        F.max(F.when(F.col("line_number") == F.col("entry"), F.col("head").dropFields("content"))).alias("head"),
         trimmed(F.array_join(F.transform(parts, lambda x: x["text"]), newline)).alias("content"),
     ).withColumnRenamed("entry", "line_number")
 
 
 def parse_fields(stitched: DataFrame) -> DataFrame:
     """The fields of the header; ``ts`` and ``elapsed_ms`` are null where they can't be read."""
-    part = lambda field: header_part("header", field)
+    part = lambda field: F.col(f"head.{field}")
     return stitched.select(
         "file_path", "file_name", "line_number", parse_timestamp(part("time")).alias("ts"), trimmed(part("channel")).alias("channel"),
         parse_elapsed(part("elapsed")).alias("elapsed_ms"), trimmed(part("level")).alias("level"), trimmed(part("source")).alias("source"), "content", "header",

@@ -11,12 +11,15 @@ from timberline.sources.store import written
 _ROW_BITS = 33
 
 
-def numbered(df: DataFrame, *by: str, name: str = "rank", after: int = 0) -> DataFrame:
+def numbered(df: DataFrame, *by: str, name: str = "rank", after: int = 0, evaluated: bool = False) -> DataFrame:
     """Adds ``name``: ``after`` + 1, + 2, ... in the order of the columns ``by``.
 
     Rows are dealt out by ranges of ``by``, sorted, and written with their place in their range; a range's rows come after
     those of all ranges before it, which takes one row per range. Rows whose ``by`` are all equal are in one range, in any order.
+
+    Ranges come from a sample, for which Spark would evaluate ``df`` a first time: it is written before, unless it is a table already (``evaluated``).
     """
+    df = df if evaluated else written(df, "rows")
     place = F.monotonically_increasing_id()
     placed = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", place), "places")
     part = F.shiftright("_place", _ROW_BITS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import fields, text
@@ -16,7 +16,8 @@ from timberline.operators import entries as E
 from timberline.operators import review as R
 from timberline.operators.order import numbered
 from timberline.plans.log_entries import FLAGS_SQL, analysed, flagged, loaded, log_entries, original_path, parsed, rendered, scanned, sql
-from timberline.schema import ACRONYM, STOP_WORDS, TOKEN
+from timberline.plans.registry import QUERIES, SQL, query
+from timberline.schema import ACRONYM, LONE, STOP_WORDS, TOKEN
 from timberline.sources import scan, sinks
 from timberline.sources.store import workspace
 
@@ -25,21 +26,9 @@ def ms() -> Column:
     return F.unix_millis("ts").alias("ts_ms")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 FIELDS = ["file_path", "line_number", "ts_ms", "channel", "elapsed_ms", "level", "source", "content"]
 
 
-def query(oracle: str, name: str | None = None):
-    def add(f):
-        key = name or f.__name__
-        QUERIES[key], SQL[key] = f, oracle
-        return f
-
-    return add
-
-
 # --- scans -----------------------------------------------------------------------------------------------------------
 
 _LINES = (
@@ -250,23 +239,19 @@ for _k, _c in (("dim_file", "file_path"), ("dim_level", "level"), ("dim_source",
     _dim(_k, _c)
 
 
-def _dims(e: DataFrame) -> dict[str, DataFrame]:
-    return {k: D.dimension(e, c) for k, c in D.DIMENSIONS.items()}
-
-
 _DIMS = [f"d_{c} AS (SELECT {c}, row_number() OVER (ORDER BY min(id)) AS {k} FROM log_entries GROUP BY {c})" for k, c in D.DIMENSIONS.items()]
 
 
 @query(sql("SELECT id, line_number, file_id, ts_ms, channel_id, elapsed_ms, level_id, source_id, md5(content) AS content, array_to_string(flags, ' ') AS flags FROM flagged JOIN d_file_path USING (file_path) JOIN d_channel USING (channel) JOIN d_level USING (level) JOIN d_source USING (source)", *_DIMS))
 def encode_fact(spark, sf):
     e = flagged(spark, sf)
-    return D.encode_fact(e, _dims(e)).withColumn("ts_ms", F.unix_millis("ts")).drop("ts").withColumn("content", F.md5(F.col("content").cast("binary")))
+    return D.encode_fact(e, D.dimensions(e)).withColumn("ts_ms", F.unix_millis("ts")).drop("ts").withColumn("content", F.md5(F.col("content").cast("binary")))
 
 
 @query(sql("SELECT id, file_path, line_number, ts_ms, channel, elapsed_ms, level, source FROM log_entries"))
 def star_join(spark, sf):
     e = flagged(spark, sf)
-    dims = _dims(e)
+    dims = D.dimensions(e)
     return D.decode_fact(D.encode_fact(e, dims), dims).select("id", "file_path", "line_number", ms(), "channel", "elapsed_ms", "level", "source")
 
 
@@ -294,7 +279,7 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 def _tokens_sql(field: str) -> str:
     dotless = f"CASE WHEN regexp_matches(x, '{ACRONYM}') THEN replace(x, '.', '') ELSE substr(x, 1, length(x) - 1) END"
-    words = f"list_transform(regexp_extract_all(lower({field}), '{_TOK}'), lambda x: CASE WHEN ends_with(x, '.') THEN {dotless} WHEN ends_with(x, '''s') THEN substr(x, 1, length(x) - 2) ELSE x END)"
+    words = f"list_transform(regexp_extract_all(regexp_replace(lower({field}), '({LONE})', ' \\1 ', 'g'), '{_TOK}'), lambda x: CASE WHEN ends_with(x, '.') THEN {dotless} WHEN ends_with(x, '''s') THEN substr(x, 1, length(x) - 2) ELSE x END)"
     return f"list_transform({words}, lambda x: CASE WHEN x IN ({_STOP}) THEN NULL ELSE x END)"
 
 
@@ -317,19 +302,28 @@ def tokens_flag(spark, sf):
     return flagged(spark, sf).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
-@query(sql(
-    "SELECT field, term, count(DISTINCT id) AS df, count(*) AS n, min(pos) AS first_pos FROM (SELECT 'content' AS field, id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM tok UNION ALL SELECT 'flag', id, unnest(flags), generate_subscripts(flags, 1) FROM flagged) WHERE term IS NOT NULL GROUP BY field, term",
-    f"tok AS (SELECT id, {_tokens_sql('content')} AS t FROM log_entries)"))
+_TERMS = "terms AS (SELECT field, id, term, pos FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT id, {_tokens_sql(f)} AS t FROM log_entries)" for f in text.TEXT_FIELDS) + " UNION ALL SELECT 'flag', id, unnest(flags), generate_subscripts(flags, 1) FROM flagged) WHERE term IS NOT NULL)"
+
+
+@query(sql("SELECT field, term, count(DISTINCT id) AS df, count(*) AS n, min(pos) AS first_pos FROM terms GROUP BY field, term", _TERMS))
 def postings(spark, sf):
-    posted = text.postings(analysed(spark, sf, "content"), ("content",))
+    posted = text.postings(analysed(spark, sf, *text.TEXT_FIELDS))
     return posted.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("n"), F.min(F.array_min("positions")).cast("long").alias("first_pos"))
 
 
-@query(sql(
-    "SELECT field, term, count(DISTINCT id) AS df FROM (SELECT 'level' AS field, id, unnest(t) AS term FROM tok UNION ALL SELECT 'flag', id, unnest(flags) FROM flagged) WHERE term IS NOT NULL GROUP BY field, term",
-    f"tok AS (SELECT id, {_tokens_sql('level')} AS t FROM log_entries)"))
+@query(sql("SELECT field, term, count(DISTINCT id) AS df FROM terms GROUP BY field, term", _TERMS))
 def document_frequency(spark, sf):
-    return text.document_frequency(text.postings(analysed(spark, sf, "level"), ("level",)))
+    return text.document_frequency(text.postings(analysed(spark, sf, *text.TEXT_FIELDS)))
+
+
+_CJK = "translate(content, 'aeo', '\u6f22\u30a2\u3072')"
+
+
+@query(sql(f"SELECT id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(list_transform(t, lambda x: coalesce(x, '_')), ' ')) AS tokens_md5 FROM (SELECT id, {_tokens_sql(_CJK)} AS t FROM log_entries)"))
+def tokens_lone_characters(spark, sf):
+    """Contents with three letters turned into Chinese and Japanese characters, each of which is a token."""
+    found = text.tokens(F.translate("content", "aeo", "\u6f22\u30a2\u3072"))
+    return log_entries(spark, sf).select("id", F.size(found).cast("long").alias("n_tokens"), _shown(found).alias("tokens_md5"))
 
 
 # --- search ----------------------------------------------------------------------------------------------------------
@@ -365,11 +359,12 @@ search("search_text_range", lambda: P.text_range("pro", "run"), _any("x >= 'pro'
 search("search_num_eq", lambda: P.num_eq("line", 1) | P.num_eq("id", 77), "line_number = 1 OR id = 77")
 search("search_num_range", lambda: P.num_range("line", 100, 200) & P.num_range("id", 50, None, inclusive=False), "line_number BETWEEN 100 AND 200 AND id > 50")
 search("search_and", lambda: P.term("exception") & P.num_range("id", None, 5000), f"{_HAS('exception')} AND id <= 5000")
-search("search_or", lambda: P.term("exception") | P.term("state"), f"{_HAS('exception')} OR {_HAS('state')}")
+search("search_or", lambda: P.any_term(["exception", "state"]), f"{_HAS('exception')} OR {_HAS('state')}")
 search("search_not", lambda: P.term("worker_log", "flag") & ~P.term("error", "level"), "list_contains(flags, 'worker_log') AND NOT list_contains(level_tokens, 'error')", "level")
 search("search_only_negated", lambda: ~P.term("exception") & ~P.term("vendor_package", "flag"), f"NOT {_HAS('exception')} AND NOT list_contains(flags, 'vendor_package')")
 search("search_all", P.everything, "true")
-
+search("search_term_analysed", lambda: P.term("State's") & P.term("the"), _HAS("state"))
+search("search_term_of_two_words", lambda: P.term("Changing-State"), _at({0: "changing", 1: "state"}))
 
 
 def _slop_sql(words: dict[str, int], slop: int) -> str:
@@ -392,6 +387,12 @@ def search_phrase_slop_of_three(spark, sf):
     return analysed(spark, sf).filter(P.phrase("running state changing", slop=6)).select("id")
 
 
+@query(sql("SELECT DISTINCT a.id FROM hits a JOIN hits b ON a.id = b.id AND a.pos <> b.pos AND abs(a.pos - (b.pos - 1)) <= 2", _TOK_CONTENT, "hits AS (SELECT id, pos FROM (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM tok) WHERE w = 'de')"))
+def search_phrase_slop_repeated(spark, sf):
+    """A word twice needs two places."""
+    return analysed(spark, sf).filter(P.phrase("de de", slop=2)).select("id")
+
+
 @query(sql(f"SELECT id FROM tok WHERE list_contains(t, 'exception')", _TOK_CONTENT))
 def search_postings(spark, sf):
     """A word looked up in the stored table of postings."""
@@ -403,7 +404,7 @@ def search_postings(spark, sf):
 @query(sql(f"SELECT id FROM (SELECT * FROM found WHERE {_HAS('exception')} OR {_HAS('state')}) WHERE lower(level) = 'error'", f"found AS (SELECT *, {_tokens_sql('content')} AS content_tokens FROM flagged)"))
 def search_group(spark, sf):
     """A search within the hits of another."""
-    return analysed(spark, sf).filter(P.term("exception") | P.term("state")).filter(F.lower("level") == "error").select("id")
+    return analysed(spark, sf).filter(P.any_term(["exception", "state"])).filter(F.lower("level") == "error").select("id")
 
 
 # --- orders and pages ------------------------------------------------------------------------------------------------

@@ -6,21 +6,11 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 LEVELS = ("INFO", "WARN", "ERROR", "DEBUG", "TRACE")
 
-#: The fields of a header line in their order: what each may hold, and what follows it.
-HEADER_FIELDS = {
-    "time": (r"20\d\d(?:-\d\d){2} \d\d(?::\d\d){2}[.]\d+\s+[-+]?\d\d\d\d", r"\s+\["),
-    "channel": (r"[^\\]+", r"\]\s"),  # to the last bracket after which the rest still fits
-    "elapsed": (r"\d+", r"\s"),
-    "level": ("|".join(LEVELS), r"\s+"),
-    "source": (r"[^-]+", r"\s-\s"),
-    "content": (".*", "$"),
-}
-#: A header line, any case; one group for each field. Only a line feed ends a line.
-HEADER = "(?isd)^" + "".join(f"({held}){then}" for held, then in HEADER_FIELDS.values())
-
 #: Words with apostrophes, hosts and addresses, numbers with signs inside; and a dot that follows, by which acronyms are told.
 TOKEN = r"[\p{L}\p{N}]+(?:'\p{L}+|[.@][\p{L}\p{N}]+|[-_/,][\p{L}]*\p{N}[\p{L}\p{N}]*)*\.?"
 ACRONYM = r"^(?:\p{L}\.)+$"
+#: Characters that are words of their own: kana, and Chinese characters with their extension and compatibility blocks.
+LONE = "[\u3040-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
 
 # The English stop words of the published analyser.
 STOP_WORDS = (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timberline.sources.store import small, written
+
 
 def _lines(reader, paths: list[str]) -> DataFrame:
     # the place in the scan has to be taken directly over it
@@ -43,7 +45,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     blocks = lines.groupBy("file_path", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     ahead = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file_path", "block", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first") + 1).alias("shift"))
-    return lines.join(blocks, ["file_path", "block"]).withColumn("line_number", F.col("place") + F.col("shift")).drop("shift", "place")
+    return lines.join(small(written(blocks, "blocks")), ["file_path", "block"]).withColumn("line_number", F.col("place") + F.col("shift")).drop("shift", "place")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.fields import to_log_line
-from timberline.operators.dims import assign_ids, table_stats
+from timberline.operators.dims import DIMENSIONS, assign_ids, dimensions, encode_fact, table_stats
+from timberline.sources.store import exists, small, written
 
 
 def export_log(entries: DataFrame, path: str, one_file: bool = False) -> None:
@@ -16,8 +17,12 @@ def export_log(entries: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def write_entries(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Writes an entry table, partitioned by day. Tasks take ranges of time, so a long day has many writers and a short one few."""
-    entries.repartitionByRange("date_key", "ts").write.mode(mode).partitionBy("date_key").parquet(path)
+    """Writes an entry table, partitioned by day. Tasks take ranges of time, so a long day has many writers and a short one few.
+
+    Row groups have Bloom filters of their ids, which :func:`timberline.operators.dims.fetch_by_ids` asks.
+    """
+    rows = entries.repartitionByRange("date_key", "ts").write.mode(mode).partitionBy("date_key")
+    rows.option("parquet.bloom.filter.enabled#id", "true").parquet(path)
 
 
 def load_replace(entries: DataFrame, path: str) -> None:
@@ -32,6 +37,27 @@ def load_append(spark: SparkSession, entries: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def load_star(spark: SparkSession, entries: DataFrame, path: str) -> None:
+    """A load into a star below ``path`` (``fact``, and a folder for each dimension), the first one or one after those stored.
+
+    Ids go on from the highest. Values of the dimensions that are stored keep their ids, new ones are added after them: a get-or-create of all values at once.
+    Dimensions are written before the facts that name their ids; a load that fails between leaves values that nothing uses yet.
+    """
+    at = {key: f"{path}/{key}" for key in DIMENSIONS}
+    stored = {key: spark.read.schema("id long, value string").parquet(p) for key, p in at.items()} if exists(spark, f"{path}/fact") else None
+    top = table_stats(spark.read.parquet(f"{path}/fact")).first()["max_id"] if stored else 0
+    rows = written(assign_ids(entries, top), "load")
+    dims = {key: written(d, "dim") for key, d in dimensions(rows, stored).items()}
+    for key, d in dims.items():
+        (d.join(small(stored[key].select("id")), "id", "left_anti") if stored else d).write.mode("append").parquet(at[key])
+    encode_fact(rows, dims).write.mode("append").parquet(f"{path}/fact")
+
+
+def read_star(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(facts, dimensions) that :func:`load_star` wrote."""
+    return spark.read.parquet(f"{path}/fact"), {key: spark.read.parquet(f"{path}/{key}") for key in DIMENSIONS}
+
+
 def as_lines(entries: DataFrame, *by: str) -> DataFrame:
     """Rendered entries with the columns ``by``, in line order within them."""
     return entries.repartition(*by).sortWithinPartitions(*by, "line_number").select(*by, to_log_line().alias("value"))

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most this many rows of a few short values may be broadcast.
-BROADCAST_ROWS = 200_000
+#: A table of at most this many rows, with so many bytes of text in them, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table with a broadcast hint if it has at most ``rows`` rows (they are counted), else as it is: a shuffled join follows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def removed(table: DataFrame) -> None:
+    """Removes the files of a :func:`written` table that nothing needs any more: what was made from it has been written too."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes of text (both are measured), else as it is: a shuffled join follows."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    held = F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count("*"), held).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
