@@ -104,24 +104,30 @@ def _same(left: str, right: str):
 
 
 def _verified(docs: DataFrame, places: DataFrame, slack: int) -> DataFrame:
-    """(id, sig, window, start, n_words, kind) of the ``places`` (id, sig, window, words, n, pos, o) at which the documents' words are the window's.
+    """(id, sig, window, start, n_words, kind) of the ``places`` (id, sig, window, words, n, o, pos) at which the documents' words are the window's.
+
+    A document's places are one row: its windows, each with a number for every place.
 
     ``pos`` is where a document has the window's word number ``o``. With ``slack``, a place that isn't the phrase is ``near`` if some ``n`` + ``slack``
     words around ``pos`` hold all words of the window.
     """
-    lists = places.groupBy(F.col("id").alias("w_id"), F.col("sig").alias("w_sig")).agg(F.collect_set(F.struct("window", "words", "n", "pos", "o")).alias("places"))
+    keys = (F.col("id").alias("w_id"), F.col("sig").alias("w_sig"))
+    lists = places.groupBy(*keys, "window", "words", "n", "o").agg(F.collect_set("pos").alias("at"))
+    lists = lists.groupBy("w_id", "w_sig").agg(F.collect_list(F.struct("window", "words", "n", "o", "at")).alias("places"))
     lists = F.broadcast(lists) if fits(places) else lists
     kind = docs.schema["id"].dataType.simpleString()
 
-    def judged(found: list[bytes], place: dict) -> tuple[int, int, str] | None:
-        wanted, n, start = place["words"].encode().split(b" "), place["n"], place["pos"] - place["o"]
-        if start >= 0 and found[start : start + n] == wanted:
-            return start, n, "phrase"
-        if slack:
-            for i in range(max(0, place["pos"] - n - slack + 1), place["pos"] + 1):
-                if set(wanted) <= set(part := found[i : i + n + slack]):
-                    return i, len(part), "near"
-        return None
+    def judged(found: list[bytes], asked: dict) -> Iterator[tuple[str, int, int, str]]:
+        wanted, n = asked["words"].encode().split(b" "), asked["n"]
+        for pos in asked["at"]:
+            start = pos - asked["o"]
+            if start >= 0 and found[start : start + n] == wanted:
+                yield asked["window"], start, n, "phrase"
+            elif slack:
+                for i in range(max(0, pos - n - slack + 1), pos + 1):
+                    if set(wanted) <= set(part := found[i : i + n + slack]):
+                        yield asked["window"], i, len(part), "near"
+                        break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,7 +136,7 @@ def _verified(docs: DataFrame, places: DataFrame, slack: int) -> DataFrame:
                 edges, raw, out = np.searchsorted(doc, np.arange(len(at))), folded.tobytes(), []
                 for i, (owner, sig, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
                     found = [raw[a:b] for a, b in zip(start[edges[i] : edges[i + 1]].tolist(), end[edges[i] : edges[i + 1]].tolist(), strict=True)]
-                    out += [(owner, sig, place["window"], *hit) for place in asked if (hit := judged(found, place))]
+                    out += [(owner, sig, *hit) for windows in asked for hit in judged(found, windows)]
                 kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["id", "sig", "window", "start", "n_words", "kind"])
 
@@ -146,8 +152,9 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int =
     owners: (window, item_id).
 
     Corpus counts pick each window's two rarest terms; a window with a term that no document has can't occur (as a phrase
-    or near) and is dropped. Only those terms' postings are stored. Both lists, each shifted by its term's offset in the window, are intersected
-    within documents (for ``near``: brought within reach of each other); what they share are the places at which a window may stand, and there its words are
+    or near) and is dropped. Only those terms' postings are stored. Each place of the rarest term says where the other one has to stand if the
+    window is there: the second list is asked for that very place of that document (for ``near``: for places within reach, by strips as long as the reach), so a place
+    of either list is one row of the join, however many there are in a text, and rows that repeat an id and a text ask alike. There the window's words are
     compared with the text. The list of a frequent term isn't needed unless a window has no rarer ones; then it is as long as it is.
     """
     own = saved(windows(items, "item_id", "text", size).withColumn("window", F.sha2(F.array_join("words", " "), 256)), "windows")
@@ -164,11 +171,20 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int =
 
     lists = index.select("id", "sig", F.inline("postings"))
     first = lists.join(small(sought), "term")
-    second = lists.select(F.col("id").alias("s_id"), F.col("sig").alias("s_sig"), F.col("term").alias("s_term"), F.col("pos").alias("s_pos"))
-    gap = F.col("s_pos") - F.col("pos")
-    meets = F.abs(gap) < F.col("n") + slack if slack else gap == F.col("o2") - F.col("o")
-    both = first.filter("term2 is not null").join(second.join(small(rare), F.col("s_term") == F.col("term"), "left_semi"), _same("", "s_") & (F.col("term2") == F.col("s_term")) & meets)
-    columns = ("id", "sig", "window", "words", "n", "pos", "o")
+    reach = size + slack
+    spot = F.col("pos") - F.col("o") + F.col("o2")  # where the second term stands in a phrase
+    if slack:
+        strips = F.floor(F.col("pos") / reach)
+        first = first.withColumn("s_at", F.explode(F.array(strips - 1, strips, strips + 1)))
+    else:
+        first = first.withColumn("s_at", spot)
+    second = lists.join(small(sought.select(F.col("term2").alias("term")).filter("term is not null").distinct()), "term", "left_semi")
+    second = second.select(F.col("id").alias("s_id"), F.col("sig").alias("s_sig"), F.col("term").alias("s_term"), F.col("pos").alias("s_pos"), (F.floor(F.col("pos") / reach) if slack else F.col("pos")).alias("s_place"))
+    meets = _same("", "s_") & (F.col("term2") == F.col("s_term")) & (F.col("s_at") == F.col("s_place"))
+    if slack:
+        meets &= F.abs(F.col("s_pos") - F.col("pos")) < F.col("n") + slack
+    both = first.filter("term2 is not null").join(second, meets, "left_semi")
+    columns = ("id", "sig", "window", "words", "n", "o", "pos")
     found = saved(first.filter("term2 is null").select(*columns).unionByName(both.select(*columns)).distinct(), "places")
     return index, _verified(_keyed(docs, id_col, text_col), found, slack), owners
 
@@ -184,7 +200,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     index, hits, owners = matches(docs, items, size, id_col=id_col, text_col=text_col)
     hits = saved(hits, "hits")
     places = hits.groupBy("id", "sig").agg(F.collect_set(F.struct("start", "n_words")).alias("w"))
-    covered = places.select("id", "sig", F.expr("size(array_distinct(flatten(transform(w, x -> sequence(x.start, x.start + x.n_words - 1)))))").cast("long").alias("n_hit"))
+    # spans in order of their starts: each adds what is behind the ends of those before it
+    added = "named_struct('reached', greatest(s.reached, x.start + x.n_words), 'n', s.n + greatest(0L, x.start + x.n_words - greatest(s.reached, x.start)))"
+    covered = places.select("id", "sig", F.expr(f"aggregate(array_sort(w), named_struct('reached', 0L, 'n', 0L), (s, x) -> {added}, s -> s.n)").alias("n_hit"))
     named = hits.select("id", "sig", "window").distinct().join(owners, "window").groupBy("id", "sig").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     keys = lambda x: F.col("id").eqNullSafe(F.col(f"{x}_id")) & (F.col("sig") == F.col(f"{x}_sig"))
     covered, named = (x.withColumnsRenamed({"id": f"{n}_id", "sig": f"{n}_sig"}) for n, x in (("c", covered), ("m", named)))
