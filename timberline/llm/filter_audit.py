@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import saved, small
-from timberline.llm.textbytes import CHUNK, SPACE, Rolling, chunks
+from timberline.llm.textbytes import CHUNK, SPACE, Rolling, chunks, same_spans
 
 FILTERS = "ABCDE"
 
@@ -49,22 +49,6 @@ def transduced(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ACTION[before, kind]
 
 
-def _same(data: np.ndarray, raw: bytes, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a:a + size] is data[b:b + size], byte by byte, eight at a time; ``data`` has eight bytes more than its spans."""
-    eight = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
-    equal = np.ones(len(a), bool)
-    left, done = np.arange(len(a)), 0
-    while len(left) and done < 64:
-        rest = np.minimum(size[left] - done, 8).astype(np.uint64)
-        shift = np.uint64(64) - rest * np.uint64(8)
-        equal[left] &= ((eight[a[left] + done] ^ eight[b[left] + done]) << shift) == 0
-        done += 8
-        left = left[(size[left] > done) & equal[left]]
-    for i in left:  # words of over 64 bytes
-        equal[i] = raw[a[i] : a[i] + size[i]] == raw[b[i] : b[i] + size[i]]
-    return equal
-
-
 def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
     """Which spans are the first of their bytes within their owner: all are put into one hash table, open to the next slot.
 
@@ -89,7 +73,7 @@ def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, owner:
         rest = held != open_
         open_, held = open_[rest], held[rest]
         match = (owner[open_] == owner[held]) & (size[open_] == size[held])
-        match[match] = _same(padded, raw, start[open_[match]], start[held[match]], size[open_[match]])
+        match[match] = same_spans(padded, raw, start[open_[match]], start[held[match]], size[open_[match]])
         open_ = open_[~match]
         slot[open_] = (slot[open_] + 1) & (int(slots) - 1)
     return new

@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import partitions, saved, small
 from timberline.llm.range_coder import NONE, Prior, decode, encode
+from timberline.llm.textbytes import Rolling, same_spans
 
 #: Ids in a block, and blocks in a segment (a row of the file), at most.
 BLOCK, LANES = 2048, 1024
 END = 2
 MAGIC = b"TLTOKEN1"
-#: Words of which an encoder remembers the ids.
-REMEMBERED = 100_000
+#: Words of which an encoder remembers the ids, before it forgets all, and characters of text that it works on at once.
+REMEMBERED, AT_ONCE = 600_000, 2 << 20
+
+_ROLL = Rolling(0xA0761D6478BD642F)
 
 
 def tokenizer_path() -> str:
@@ -36,6 +39,9 @@ class Encoder:
     Its pattern never joins a space to what is before it, unless white space or the end follows. A text in which each space is followed by
     something else is thus encoded word by word, with the space before the word; any other text, and one that holds the name of an added token, is encoded in one piece. New words are
     encoded end to end, and their ids told apart by the tokens that begin with a space.
+
+    Texts are worked on some MB at a time: their words are told apart by hashes and compared with the first of their hash, byte by byte; each different one is
+    looked up once, and all texts' ids are gathered from those of the words.
     """
 
     def __init__(self, path: str | None = None):
@@ -53,38 +59,80 @@ class Encoder:
         added = [re.escape(x["content"]) for x in parts.get("added_tokens") or []]
         self.whole = re.compile("|".join([r" (?:\s|\Z)", *added]))
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: word -> its number; a text's first word, which has no space before it, is known by a space
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, "<u2"), np.zeros(1 << 16, np.int64)  # all words' ids end to end; ends[k + 1] is where those of number k end
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
-    def _learn(self, words: set[str]) -> None:
-        """Makes the words (without the space before them) known."""
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, at = len(self.known), int(self.ends[len(self.known)])
+        while len(self.ends) < n + len(words) + 1:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while len(self.ids) < at + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[at : at + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(words)] = at + np.cumsum(sizes)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _numbers(self, words: list[bytes], firsts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of different words, and of texts' first words; new ones are learned."""
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        new = []
-        for x in words:
-            if x not in self.known:
-                if x in self.older:
-                    self.known[x] = self.older[x]
-                else:
-                    new.append(x)
-        if new:
-            ids = self._ids(" " + " ".join(new))
-            at = (np.flatnonzero(self.spaced[ids]) * 2).tolist()
-            data = ids.tobytes()
-            self.known.update(zip(new, (data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)), strict=True))
+            self._forget()
+        get = self.known.get
+        if new := [w for w in words if get(w) is None]:
+            ids = self._ids((b" " + b" ".join(new)).decode())
+            at = np.flatnonzero(self.spaced[ids])
+            self._add(new, ids, np.diff(at, append=len(ids)))
+        if new := [w for w in dict.fromkeys(firsts) if get(w) is None]:
+            coded = [np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast([w[1:].decode() for w in new], add_special_tokens=False)]
+            self._add(new, np.concatenate(coded), np.array([len(x) for x in coded]))
+        return tuple(np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) for x in (words, firsts))
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray] | None:
+        """The ids of texts that may be encoded word by word; None if two different words have one hash."""
+        raws = [x.encode() for x in texts]
+        raw = b" " + b" ".join(raws)
+        data = np.frombuffer(raw + bytes(8), np.uint8)
+        start = np.flatnonzero(data[: len(raw)] == 0x20) + 1
+        end = np.append(start[1:] - 1, len(raw))
+        opening = np.searchsorted(start, np.cumsum([1, *[len(x) + 1 for x in raws[:-1]]]))  # each text's first word
+        inner = np.ones(len(start), bool)
+        inner[opening] = False
+        a, b = start[inner], end[inner]
+        _, first, same = np.unique(_ROLL.spans(_ROLL.sums(data), a, b), return_index=True, return_inverse=True)
+        if not ((b - a == (b - a)[first][same]).all() and same_spans(data, raw, a, a[first][same], b - a).all()):
+            return None
+        words = [raw[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)]
+        number = np.zeros(len(start), np.int64)
+        of_words, number[opening] = self._numbers(words, [raw[i - 1 : j] for i, j in zip(start[opening].tolist(), end[opening].tolist(), strict=True)])
+        number[inner] = of_words[same]
+        begin, stop = self.ends[number], self.ends[number + 1]
+        sizes = stop - begin
+        total = np.cumsum(sizes)
+        ids = self.ids[np.arange(total[-1]) + np.repeat(begin - (total - sizes), sizes)]
+        return np.split(ids, (total - sizes)[opening[1:]])
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = [self.by_word and not self.whole.search(x) for x in texts]
+        some = [x for x, p in zip(texts, plain, strict=True) if p]
+        found = iter((some and self._by_words(some)) or map(self._ids, some))
+        for text, p in zip(texts, plain, strict=True):
+            yield next(found) if p else self._ids(text)
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        held, size = [], 0
         for text in texts:
-            text = text or ""
-            if not self.by_word or self.whole.search(text):
-                yield self._ids(text)
-                continue
-            first, *rest = text.split(" ")
-            self._learn(set(rest))
-            yield np.frombuffer(self._ids(first).tobytes() + b"".join(map(self.known.__getitem__, rest)), "<u2")
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -143,7 +191,7 @@ def written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder, shard = Encoder(path), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(path), TaskContext.get().partitionId()
         held, owners, total, segment = [], [], 0, 0
 
         def out():
