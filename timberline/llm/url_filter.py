@@ -53,32 +53,49 @@ def templates(pages: DataFrame, support: int = SUPPORT, apart: float = APART, pr
     split, and what is below it is ``**``; so the tree is as deep as pages reach. A template's purity is its share of good pages, drawn to its host's share, and
     that to the share of all.
 
-    Each level sums the shapes that are still open by node and by branch, with partial sums before the shuffle: no task sees a whole host. Only branches with ``support`` pages
+    A round takes every open node down to the first level that splits it: its shapes' segments are summed for all levels below it at once (by node and level, and by branch, with partial
+    sums before the shuffle, so no task sees a whole host). Down to that level all its pages go the same way, and get the same steps. So rounds are as many
+    as a page's path has splits, which need labels that differ, whatever the depth of urls. Only branches with ``support`` pages and a row for each node
     are joined back, broadcast while they are few.
     """
     shape = F.array_join(segments(F.col("path")), "/")
     counted = pages.groupBy("host", shape.alias("shape")).agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("good"))
-    level = saved(counted.withColumns({"template": F.lit(""), "open": F.lit(True)}), "shapes")
+    level = saved(counted.withColumns({"template": F.lit(""), "depth": F.lit(0)}), "shapes")
     rate = level.agg((F.coalesce(F.sum("good"), F.lit(0)) + prior) / (F.coalesce(F.sum("labelled"), F.lit(0)) + prior)).first()[0]
-    done, depth = [], 0
+    tokens = F.filter(F.split("shape", "/"), lambda x: x != "")
+    sums = ("n", "labelled", "good")
+    done = []
     while True:
-        token = F.nullif(F.get(F.split("shape", "/"), F.lit(depth)), F.lit(""))
-        live = level.withColumn("token", token)
-        done.append(live.filter("token is null").drop("token"))
-        live = live.filter("token is not null")
-        nodes = _summed(live, "host", "template").filter(F.col("n") >= support)
+        below = F.posexplode(F.slice(tokens, F.col("depth") + 1, F.greatest(F.size(tokens) - F.col("depth"), F.lit(0))))
+        branches = level.select("host", "template", "depth", *sums, below.alias("at", "token")).withColumn("at", F.col("at") + F.col("depth"))
+        branches = saved(_summed(branches, "host", "template", "at", "token"), "branches")
         p = (F.col("good") + F.lit(prior) * F.lit(rate)) / (F.col("labelled") + F.lit(prior))
-        nodes = small(saved(nodes.select(F.col("host").alias("_h"), F.col("template").alias("_t"), p.alias("p")), "nodes"))
-        at_node = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))
+        nodes = _summed(branches, "host", "template", "at").select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("at").alias("_at"), F.col("n").alias("of_node"), p.alias("p"))
+        nodes = small(saved(nodes, "levels"))
         gap = F.col("good") - F.col("labelled") * F.col("p")
-        own = _summed(live, "host", "template", "token").filter((F.col("n") >= support) & (F.col("labelled") > 0)).join(nodes, at_node)
-        own = own.filter(gap * gap >= apart * apart * F.col("labelled") * F.col("p") * (1 - F.col("p")))
-        own = small(saved(own.select(F.col("_h").alias("_bh"), F.col("_t").alias("_bt"), F.col("token").alias("_bk")), "branches"))
-        joined = live.join(nodes, at_node, "left").join(own, (F.col("host") == F.col("_bh")) & (F.col("template") == F.col("_bt")) & (F.col("token") == F.col("_bk")), "left")
-        step = F.when(F.col("_h").isNull(), "/**").when(F.col("_bh").isNotNull(), F.concat(F.lit("/"), "token")).otherwise("/*")
-        level = saved(joined.select("host", "shape", "n", "labelled", "good", F.concat("template", step).alias("template"), F.col("_h").isNotNull().alias("open")), "level")
-        done.append(level.filter("not open"))
-        level, depth = level.filter("open"), depth + 1
+        own = branches.filter((F.col("n") >= support) & (F.col("labelled") > 0)).join(nodes, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("at") == F.col("_at")))
+        own = own.filter((F.col("of_node") >= support) & (gap * gap >= apart * apart * F.col("labelled") * F.col("p") * (1 - F.col("p"))))
+        own = saved(own.select("host", "template", "at", "token", (F.col("n") == F.col("of_node")).alias("alone")), "own")
+        # what each level of a node does: a step that all its pages take, or a stop, where they part or are too few
+        kept = own.groupBy("host", "template", "at").agg(F.max(F.when(F.col("alone"), F.col("token"))).alias("token"), F.count_if(~F.col("alone")).alias("parting"))
+        kept = small(saved(kept, "kept"))
+        levels = nodes.join(kept, (F.col("_h") == F.col("host")) & (F.col("_t") == F.col("template")) & (F.col("_at") == F.col("at")), "left")
+        few = F.col("of_node") < support
+        step = F.struct("_at", F.concat(F.lit("/"), F.coalesce("token", F.lit("*"))).alias("step"), (few | (F.coalesce("parting", F.lit(0)) > 0)).alias("stops"), few.alias("few"))
+        ways = levels.groupBy("_h", "_t").agg(F.array_sort(F.collect_list(step)).alias("way"))
+        stop = F.expr("get(filter(way, x -> x.stops), 0)")
+        ways = ways.select("_h", "_t", stop["_at"].alias("stop"), stop["few"].alias("few"), F.expr("transform(way, x -> x.step)").alias("steps"))
+        joined = level.join(small(saved(ways, "ways")), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
+        length = F.size(tokens)
+        until = F.least(length, F.coalesce("stop", length))
+        passed = F.concat("template", F.array_join(F.slice(F.coalesce("steps", F.array().cast("array<string>")), F.lit(1), until - F.col("depth")), ""))
+        moved = saved(joined.select("host", "shape", *sums, F.col("template").alias("_from"), passed.alias("template"), F.col("stop"), F.when(length > F.col("stop"), F.col("few")).alias("few"), F.get(tokens, F.col("stop")).alias("token")), "moved")
+        done.append(moved.filter("few is null").select("host", "shape", "template", *sums))
+        done.append(moved.filter("few").select("host", "shape", F.concat("template", F.lit("/**")).alias("template"), *sums))
+        mine = small(own.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("at").alias("_at"), F.col("token").alias("_k")))
+        at_branch = (F.col("host") == F.col("_h")) & (F.col("_from") == F.col("_t")) & (F.col("stop") == F.col("_at")) & (F.col("token") == F.col("_k"))
+        parted = moved.filter("not few").join(mine, at_branch, "left")
+        level = saved(parted.select("host", "shape", *sums, F.concat("template", F.lit("/"), F.coalesce("_k", F.lit("*"))).alias("template"), (F.col("stop") + 1).alias("depth")), "level")
         if level.isEmpty():
             break
     found = saved(reduce(DataFrame.unionByName, done).select("host", "shape", "template", "n", "labelled", "good"), "templated")
@@ -122,33 +139,23 @@ def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(labelled(pages, labels)).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-#: Levels that the SQL below has; a recursive query can't sum over a level.
-_LEVELS = 9
-
-
-def _level(d: int) -> str:
-    return rf"""
-o{d} AS (SELECT *, segs[{d + 1}] AS token FROM l{d} WHERE open),
-n{d} AS (SELECT host, template, (sum(good) + 8.0::DOUBLE * any_value(rate)) / (sum(labelled) + 8.0::DOUBLE) AS p FROM o{d}, g WHERE token IS NOT NULL GROUP BY host, template HAVING sum(n) >= 20),
-b{d} AS (SELECT host, template, token FROM (SELECT host, template, token, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM o{d} WHERE token IS NOT NULL GROUP BY ALL) JOIN n{d} USING (host, template)
-  WHERE n >= 20 AND labelled > 0 AND (good - labelled * p) * (good - labelled * p) >= 9.0::DOUBLE * labelled * p * (1 - p)),
-l{d + 1} AS (SELECT o.host, o.shape, o.segs, o.n, o.labelled, o.good, o.template || CASE WHEN o.token IS NULL THEN '' WHEN n.host IS NULL THEN '/**' WHEN b.host IS NOT NULL THEN '/' || o.token ELSE '/*' END AS template,
-    o.token IS NOT NULL AND n.host IS NOT NULL AS open
-  FROM o{d} o LEFT JOIN n{d} n ON o.host = n.host AND o.template = n.template LEFT JOIN b{d} b ON o.host = b.host AND o.template = b.template AND o.token = b.token
-  UNION ALL SELECT host, shape, segs, n, labelled, good, template, open FROM l{d} WHERE NOT open),"""
-
-
 OP7_SQL = rf"""
-WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+WITH RECURSIVE u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 q AS (SELECT doc_id, max(quality) = 1 AS good FROM labels GROUP BY doc_id),
 s AS (SELECT u.*, good, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{{16,}}\z') THEN '{{hex}}'
     WHEN length(x) > 40 THEN '{{long}}' ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS parts
   FROM u LEFT JOIN q ON q.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') AS BIGINT)),
 c AS (SELECT * EXCLUDE (parts), parts AS segs, array_to_string(parts, '/') AS shape FROM s),
-l0 AS (SELECT host, shape, segs, count(*) AS n, count(good) AS labelled, count(*) FILTER (good) AS good, '' AS template, true AS open FROM c GROUP BY host, shape, segs),
-g AS (SELECT (coalesce(sum(good), 0) + 8.0::DOUBLE) / (coalesce(sum(labelled), 0) + 8.0::DOUBLE) AS rate FROM l0),{"".join(map(_level, range(_LEVELS)))}
-h AS (SELECT *, (sum(good) OVER (PARTITION BY host) + 8.0::DOUBLE * rate) / (sum(labelled) OVER (PARTITION BY host) + 8.0::DOUBLE) AS of_host FROM l{_LEVELS}, g),
+l0 AS (SELECT host, shape, segs, count(*) AS n, count(good) AS labelled, count(*) FILTER (good) AS good FROM c GROUP BY host, shape, segs),
+g AS (SELECT (coalesce(sum(good), 0) + 8.0::DOUBLE) / (coalesce(sum(labelled), 0) + 8.0::DOUBLE) AS rate FROM l0),
+l AS (SELECT host, shape, segs, n, labelled, good, rate, '' AS template, true AS open, 0 AS d FROM l0, g
+  UNION ALL SELECT host, shape, segs, n, labelled, good, rate, template || CASE WHEN token IS NULL THEN '' WHEN of_node < 20 THEN '/**'
+      WHEN of_branch >= 20 AND labels > 0 AND (goods - labels * p) * (goods - labels * p) >= 9.0::DOUBLE * labels * p * (1 - p) THEN '/' || token ELSE '/*' END,
+    token IS NOT NULL AND of_node >= 20, d + 1
+  FROM (SELECT *, sum(n) OVER w AS of_node, (sum(good) OVER w + 8.0::DOUBLE * rate) / (sum(labelled) OVER w + 8.0::DOUBLE) AS p, sum(n) OVER b AS of_branch, sum(labelled) OVER b AS labels, sum(good) OVER b AS goods
+    FROM (SELECT *, segs[d + 1] AS token FROM l WHERE open) WINDOW w AS (PARTITION BY host, template, token IS NULL), b AS (PARTITION BY host, template, token))),
+h AS (SELECT *, (sum(good) OVER (PARTITION BY host) + 8.0::DOUBLE * rate) / (sum(labelled) OVER (PARTITION BY host) + 8.0::DOUBLE) AS of_host FROM l WHERE NOT open),
 t AS (SELECT host, shape, template, (sum(good) OVER w + 8.0::DOUBLE * of_host) / (sum(labelled) OVER w + 8.0::DOUBLE) < 0.5 AS rejected FROM h WINDOW w AS (PARTITION BY host, template)),
 v AS (SELECT c.page_id, c.host, c.path, template, rejected, CASE
     WHEN (c.host = 'example.net' OR c.host LIKE '%.example.net') AND starts_with(c.path, '/en/') THEN 'example.net/en/'
