@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import fresh, saved
+from timberline.llm.common import fresh, saved, text_or_empty
 from timberline.llm.textbytes import LETTERS, SPACE, Rolling, chunks, mixed
 
 #: Buckets that n-grams are hashed to.
@@ -102,9 +102,10 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", nam
     return rows.mapInArrow(run, kept.add(name, "double"))
 
 
-def gumbel(key: Column, seed: int) -> Column:
-    """A standard Gumbel number that depends on the key and the seed alone."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+def gumbel(key: Column, seed: int, text: Column) -> Column:
+    """A standard Gumbel number that depends on the key and the seed alone; where the key is null, on the text and the seed."""
+    h = F.when(key.isNull(), F.xxhash64(text_or_empty(text), F.lit(seed))).otherwise(F.xxhash64(key, F.lit(seed)))
+    u = (F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     return -F.log(-F.log(u))
 
 
@@ -139,7 +140,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     Only every other labelled document (by a hash of the id) is counted for the target model: the others, which the model
     hasn't seen, tell where the weights of good documents end.
 
-    Null and empty texts weigh nothing (log weight 0). Rows that repeat an id get the same noise. Keys equal to
+    Null and empty texts weigh nothing (log weight 0). Rows that repeat an id get the same noise, those without one the noise of their text. Keys equal to
     the edge are all in the sample. Labels of unknown documents, and null labels, count for nothing; an
     id that is labelled twice is a target if one of its labels says so. Without any target label every document weighs about alike, and all stay.
     An empty table of documents gives an empty sample. Very long texts are weighed whole, in pieces of memory that a text fills. Other columns are not read.
@@ -148,8 +149,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     # bounded: at most label_rows rows of two numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ratio = models(rows.join(F.broadcast(bounded), F.col("id") == F.col("_label_id"), "left"), F.col("_target") & F.col("_fit"))
-    weighed = with_weights(rows, ratio, keep=["id"])
-    scores = saved(weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("id"), seed)), "weights")
+    weighed = with_weights(rows.withColumn("_noise", gumbel(F.col("id"), seed, F.col("text"))), ratio, keep=["id", "_noise"])
+    scores = saved(weighed.withColumn("key", F.col("log_weight") + F.col("_noise")).drop("_noise"), "weights")
     if k is None:
         own = scores.join(F.broadcast(bounded.filter("_target and not _fit")), F.col("id") == F.col("_label_id")).select("log_weight")
         n = own.count()
@@ -163,7 +164,7 @@ def sampled(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "d
     """The rows of ``docs`` that are in the sample, with all their columns."""
     ratio, edge, _ = resample(docs, labels, seed=seed, id_col=id_col, text_col=text_col, **how)
     name = fresh(docs, "_weight")
-    return with_weights(docs, ratio, text_col, name).filter(F.col(name) + gumbel(F.col(id_col), seed) >= F.lit(edge)).select(*docs.columns)
+    return with_weights(docs, ratio, text_col, name).filter(F.col(name) + gumbel(F.col(id_col), seed, F.col(text_col)) >= F.lit(edge)).select(*docs.columns)
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
