@@ -306,7 +306,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     merged = repeated_starts(cut.filter("not hot"), length).unionByName(repeated_strings(cut.filter("hot"), length))
     twice = small(saved(same.filter("n > 1").select("anchor", "context"), "twice"))
     whole = runs.join(twice, ["anchor", "context"], "left_semi").select("id", "sig", F.col("first").alias("start"), (F.col("first") + F.col("starts") - 1 + length).alias("end"))
-    spans = whole.unionByName(merged).groupBy("id", "sig").agg(F.collect_list(F.struct("start", "end")).alias("found")).withColumnsRenamed({"id": "s_id", "sig": "s_sig"})
+    spans = whole.unionByName(merged).groupBy("id", "sig").agg(F.collect_set(F.struct("start", "end")).alias("found")).withColumnsRenamed({"id": "s_id", "sig": "s_sig"})
     joined = rows.join(saved(spans, "spans"), F.col("id").eqNullSafe(F.col("s_id")) & (F.col("sig") == F.col("s_sig")), "left").select("id", "text", "found")
     kind = rows.schema["id"].dataType.simpleString()
 
