@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.llm.common import saved
@@ -25,8 +25,18 @@ APART = 5.0
 
 _ROLL = Rolling(0xA24BAED4963EE407)
 
-#: The labels' toxicity categories as a chain, in this order: toxic at all, then the two kinds that the labels tell apart.
-CATEGORIES = {"toxic": "toxic = 1", "toxic_prose": "toxic = 1 AND quality = 1", "toxic_junk": "toxic = 1 AND quality = 0"}
+#: Toxicity categories as a chain, in this order: toxic at all, as labelled; then two kinds of it, which the labels don't tell apart: a toxic document is of a kind if its
+#: text has one of the kind's words. Words for persons, words of contempt. The models learn what else goes with them.
+CATEGORIES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "toxic": ("toxic = 1", ()),
+    "insult": ("toxic = 1", ("clown", "idiot", "loser", "moron", "scum")),
+    "contempt": ("toxic = 1", ("disgusting", "pathetic", "stupid", "trash", "worthless")),
+}
+
+
+def _named(words_of_kind: tuple[str, ...], text: Column) -> Column:
+    """Whether a text has one of the words, in any case; without words, every text has."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?i)\b(?:" + "|".join(words_of_kind) + r")\b") if words_of_kind else F.lit(True)
 
 
 def word_buckets(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +112,15 @@ class Chain:
         return seen
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, label_rows: int = LABEL_ROWS, label_words: int = LABEL_WORDS, folds: int = FOLDS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """A chain for the categories (name -> condition on a labelled row), from at most ``label_rows`` labelled rows with ``label_words`` words.
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, tuple[str, ...]]] = CATEGORIES, label_rows: int = LABEL_ROWS, label_words: int = LABEL_WORDS, folds: int = FOLDS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """A chain for the categories (name -> condition on a labelled row, and words of which its text has one, if any), from at most ``label_rows`` labelled rows with ``label_words`` words.
 
     What reaches the driver is bounded by that: for each such row the buckets of its different words.
     """
-    bounded = saved(bounded_labels(labels, {n: F.expr(rule) for n, rule in categories.items()}, label_rows, id_col).select(F.col("id").alias("_label_id"), F.array(*categories).alias("flags")), "labels")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(bounded), F.col("id") == F.col("_label_id")).select("id", "flags", "text")
+    bounded = saved(bounded_labels(labels, {n: F.expr(rule) for n, (rule, _) in categories.items()}, label_rows, id_col).select(F.col("id").alias("_label_id"), F.array(*categories).alias("flags")), "labels")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(bounded), F.col("id") == F.col("_label_id"))
+    flags = F.array(*[F.get("flags", F.lit(i)) & _named(kind, F.col("text")) for i, (_, kind) in enumerate(categories.values())])
+    rows = rows.select("id", flags.alias("flags"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in chunks(batches):
@@ -118,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "flags", "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, flags array<boolean>, words binary").groupBy("id").agg(F.max("flags").alias("flags"), F.min("words").alias("words"))  # of an id with several texts always the same
+    found = rows.mapInArrow(run, f"id {kind}, flags array<boolean>, words binary").groupBy("id").agg(F.min(F.struct("words", "flags")).alias("one")).select("id", "one.*")  # of an id with several texts always the same
     order = Window.orderBy(F.xxhash64("id"), "id")  # of at most label_rows rows
     found = found.withColumn("total", F.sum(F.octet_length("words") / 4).over(order)).filter(F.col("total") <= label_words).orderBy(F.xxhash64("id"), "id").toArrow()
     lists = [np.frombuffer(x, "<i4") for x in found.column("words").to_pylist()]
@@ -141,7 +153,7 @@ def scored(docs: DataFrame, chain: Chain, names: list[str], id_col: str = "doc_i
     return rows.mapInArrow(run, ", ".join([f"`{id_col}` {rows.schema['id'].dataType.simpleString()}", *(f"`p_{n}` double, `is_{n}` boolean" for n in names)]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, **how) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, tuple[str, ...]]] = CATEGORIES, **how) -> DataFrame:
     """Chain fitted and applied to every whole text of ``docs``.
 
     Null and empty texts have no words and get the base rates. Rows that repeat an id are scored each; one of them, always the same, is
