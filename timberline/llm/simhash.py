@@ -286,6 +286,33 @@ def _judged(open_: DataFrame, least: float, leaders: int) -> DataFrame:
     return dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part", "k").mapInArrow(run, "sig long, gone boolean")
 
 
+def _regrouped(open_: DataFrame, least: float) -> DataFrame:
+    """(root, nameless, first, sig, words) -> the same with finer roots, without the rows that can't be like any other one that is left.
+
+    Two sets with a similarity of ``least`` share so many elements that the rarest 1 - ``least`` of one and of the other, and one more each, have one in common
+    (rare within the root, in one order for both). So rows are linked through those alone: pages of one template, which share what all of it has and
+    nothing else, are left without a link. A link for each such element, to the least hash that has it, no pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) if x else np.zeros(1, np.int64) for x in batch.column(2).to_pylist()]  # no words: one element of their own
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["root", "sig", "n", "elements"])
+
+    rows = open_.select("root", "sig", "words").mapInArrow(run, "root long, sig long, n long, elements array<long>").select("root", "sig", "n", F.explode("elements").alias("element"))
+    rows = saved(rows, "elements")
+    shared = saved(rows.groupBy("root", "element").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    held = rows.join(small(shared), ["root", "element"])
+    own = Window.partitionBy("sig")
+    head = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.count("*").over(own))  # the rows' own elements come first, and link nothing
+    rare = held.withColumns({"k": F.row_number().over(own.orderBy("df", "element")), "head": head}).filter("k <= head").select("root", "element", "sig")
+    rare = saved(rare, "rare")
+    least_of = rare.groupBy("root", "element").agg(F.min("sig").alias("b"), F.max("sig").alias("top")).filter("b < top").drop("top")
+    edges = rare.join(small(saved(least_of, "least")), ["root", "element"]).filter("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
+    roots = connected(edges).select(F.col("node").alias("sig"), F.col("root").alias("finer"))
+    return open_.join(small(saved(roots, "roots")), "sig").select(F.col("finer").alias("root"), "nameless", "first", "sig", "words")
+
+
 def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, size: int = 5, least: float = 0.8, leaders: int = LEADERS) -> tuple[DataFrame, DataFrame]:
     """(marks, gone): the marks (id, sig) of all rows, and the hashes (sig) of texts that are like one that stays and comes before.
 
@@ -293,6 +320,10 @@ def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     ``size`` words have a Jaccard similarity of ``least`` or more, which is computed from the sets. Candidates are texts
     that links of fingerprints or shared MinHash bands connect, so a pair of similarity 0.8 is missed by the bands alone
     about once in 550 times.
+
+    The first ``leaders`` texts of each group are decided, and with them all that are like one of those. What is left is grouped anew by the rare elements of
+    its sets (:func:`_regrouped`) before the next ``leaders`` are: so rounds don't grow with a template's pages, but with
+    the texts that share their rarest runs and are unlike each other all the same.
     """
     marks = saved(_marks(docs, id_col, text_col, shingle, size), "marks")
     nodes = saved(marks.groupBy("sig").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
@@ -305,10 +336,14 @@ def unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     members = saved(rooted.join(small(several), "root", "left_semi").withColumn("nameless", F.col("first").isNull()), "members")
     open_ = saved(members.join(_sets(docs, members, id_col, text_col, size), "sig").select("root", "nameless", "first", "sig", "words"), "sets")
     gone = marks.select("sig").filter("false")
+    rounds = 0
     while not open_.isEmpty():
         judged = saved(_judged(open_, least, leaders), "judged")
         gone = gone.unionByName(judged.filter("gone").select("sig"))
-        open_ = saved(open_.join(small(judged.select("sig")), "sig", "left_anti"), "open")
+        open_ = saved(open_.join(small(judged.select("sig")), "sig", "left_anti"), "left")
+        rounds += 1
+        if rounds & (rounds - 1) == 0 and not open_.isEmpty():  # again after 1, 2, 4, ... rounds, as elements become rarer
+            open_ = saved(_regrouped(open_, least), "open")
     return marks.select("id", "sig"), saved(gone, "gone")
 
 
