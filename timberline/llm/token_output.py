@@ -178,12 +178,13 @@ def written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     """The files' rows: (shard, segment, n_ids, doc_ids, n_tokens, data). Documents are in ascending order of id over shards and segments.
 
     A segment holds whole documents, about ``block`` x ``lanes`` ids of them at most unless one document has more, and is read for itself.
-    Null and empty texts have the end id alone. Rows that repeat an id follow each other in any order; null ids come first. A very long text is one
+    Null and empty texts have the end id alone. Rows that repeat an id follow each other in the order of their texts' hashes; null ids come first. A very long text is one
     segment, however many ids it has. Other columns are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id")
+    by = ("id", "_text")  # rows without an id, or of one id, are dealt out by their texts
+    ordered = rows.withColumn("_text", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), *by).sortWithinPartitions(*by).drop("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
