@@ -82,6 +82,11 @@ def test_saved_searches_and_found(entries, index):
     assert {r.id for r in I.found(index, entries, I.term("state")).collect()} == {r.id for r in entries.filter("id is not null").filter(P.term("state")).collect()}
 
 
+def test_parts_are_the_same_on_both_sides(spark):
+    for word in ("", "a", "ab", "straße", "exception"):
+        assert sorted(spark.createDataFrame([(word,)], "w string").select(I._parts(F.col("w")).alias("p")).first()["p"]) == I.parts_of(word)
+
+
 def test_an_empty_index(spark, entries, tmp_path):
     I.build(entries.limit(0), str(tmp_path / "i"), ("content", "level"))
     index = I.opened(spark, str(tmp_path / "i"))

@@ -60,6 +60,14 @@ def _parts(text: Column) -> Column:
     return parts
 
 
+def parts_of(word: str) -> list[str]:
+    """The same of a searched word, on the driver."""
+    parts = {word[:HEAD]}
+    for _ in range(EDITS):
+        parts |= {x[:i] + x[i + 1 :] for x in parts for i in range(len(x))}
+    return sorted(parts)
+
+
 def _sorted(rows: DataFrame, path: str, *by: str) -> None:
     rows.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
 
@@ -198,9 +206,9 @@ def fuzzy_terms(index: Index, word: str, field: str = "content", least: float =
     edits = max(e for e in range(n + 1) if e == 0 or 1 - e / n > least) if n else 0
     rows = index.dictionary.filter(F.col("field") == field)
     if edits <= EDITS:
-        spark = index.dictionary.sparkSession
-        parts = spark.createDataFrame([(word,)], "w string").select(F.explode(_parts(F.col("w"))).alias("part"))  # at most 29 rows
-        rows = index.deletions.filter(F.col("field") == field).join(F.broadcast(parts), "part", "left_semi").select("field", "term").distinct()
+        wanted = parts_of(word)  # at most 29, in conditions that a scan can hold against a Parquet filter
+        held = reduce(Column.__or__, [F.col("part").isin(*wanted[i : i + 10]) for i in range(0, len(wanted), 10)])
+        rows = index.deletions.filter((F.col("field") == field) & held).select("field", "term").distinct()
     similarity = 1 - F.levenshtein(t, F.lit(word)) / F.least(F.length(t), F.lit(n))
     return rows.filter(F.length(t).between(n - edits, n + edits)).select("field", "term", similarity.alias("similarity")).filter(F.col("similarity") > least)
 

@@ -76,9 +76,9 @@ search("general_errors_stored", I.general_errors, _ERRORS)
 _TOK_CONTENT = f"tok AS (SELECT id, {_tokens_sql('content')} AS t FROM log_entries)"
 
 
-@query(sql(f"SELECT id FROM ({_slop_sql({'running': 0, 'state': 1, 'changing': 2}, 6)})", _TOK_CONTENT))
+@query(sql(f"SELECT id FROM ({_slop_sql({'running': 0, 'state': 1, 'changing': 2}, 8)})", _TOK_CONTENT))
 def search_phrase_slop_stored(spark, sf):
-    return I.ids(index(spark, sf), I.phrase("running state changing", slop=6))
+    return I.ids(index(spark, sf), I.phrase("running state changing", slop=8))
 
 
 @query(sql("SELECT id, level, md5(content) AS content FROM found WHERE " + _at({0: "changing", 1: "state"}), _FOUND))
