@@ -302,8 +302,8 @@ def found(index: Index, entries: DataFrame, clause: Clause) -> DataFrame:
     return entries.join(ids(index, clause), "id", "left_semi")
 
 
-def _many(c: str) -> Column:
-    return F.coalesce(F.sum(F.bit_count(c)), F.lit(0)).cast("long")
+def _many(bits: Column | str) -> Column:
+    return F.coalesce(F.sum(F.bit_count(bits)), F.lit(0)).cast("long")
 
 
 def count_hits(index: Index, clause: Clause) -> DataFrame:
@@ -314,8 +314,8 @@ def count_hits(index: Index, clause: Clause) -> DataFrame:
 def level_counts(index: Index, clause: Clause | None = None) -> DataFrame:
     """One row, as :func:`timberline.operators.review.level_counts`: hits by level, all hits and all entries, by counts of bits."""
     clause = everything() if clause is None else clause
-    counted = _evaluated(index, [clause, *[clause & term(x, "level") for x in LEVELS]])
-    return counted.agg(*[_many(f"c{i}").alias(x.lower()) for i, x in enumerate(LEVELS, 1)], _many("c0").alias("hits"), _many("all").alias("total"))
+    counted = _evaluated(index, [clause, *[term(x, "level") for x in LEVELS]])  # the search itself once
+    return counted.agg(*[_many(F.col("c0").bitwiseAND(F.col(f"c{i}"))).alias(x.lower()) for i, x in enumerate(LEVELS, 1)], _many("c0").alias("hits"), _many("all").alias("total"))
 
 
 def saved_counts(index: Index, saved: dict[str, Clause]) -> DataFrame:
