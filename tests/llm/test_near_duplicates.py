@@ -56,3 +56,26 @@ def test_missing_and_repeated_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (3, e)], key=str)
     exact = exact_dedup.keep_first(df).select("doc_id", "text").collect()
     assert sorted(map(tuple, exact), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (3, e)], key=str)
+
+
+def test_recall_on_ten_thousand_documents(spark):
+    """Against all pairs of a larger table, which rare shingles find in plain Python."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {r.doc_id: {hash(x) for x in shingles(r.text)} for r in docs.select("doc_id", "text").collect()}
+    counts = {}
+    for own in sets.values():
+        for x in own:
+            counts[x] = counts.get(x, 0) + 1
+    gone, stay = set(), {}
+    for i in sorted(sets):
+        own = sets[i]
+        rare = sorted(own, key=lambda x: (counts[x], x))[: len(own) - -(-len(own) * 8 // 10) + 1]
+        near = {j for x in rare for j in stay.get(x, ())}
+        if any(alike(own, sets[j]) for j in near):
+            gone.add(i)
+        else:
+            for x in rare:
+                stay.setdefault(x, []).append(i)
+    got = set(sets) - {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id").collect()}
+    assert len(gone) > 300 and len(got & gone) >= 0.98 * len(gone) and len(got & gone) >= 0.98 * len(got)
