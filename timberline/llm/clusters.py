@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import discarded, saved
+from timberline.llm.common import removed, saved
 
 #: Components of a vector, units of 1, centroids, and rounds of the registered query.
 DIMS, SCALE, CENTROIDS, ROUNDS = 64, 256, 40, 5
@@ -116,7 +116,7 @@ def cluster(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         if not len(centroids):
             break
         old, state = state, saved(_assigned(state, before, centroids), "assigned")
-        discarded(old)
+        removed(old)
         if at < rounds:
             before, centroids = centroids, _moved(centroids, *_sums(state, len(centroids), dims))
     if not len(centroids):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.sources.store import written
+from timberline.sources.store import removed, written
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -15,14 +15,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
-def discarded(table: DataFrame) -> None:
-    """Removes the files of a :func:`saved` table that nothing needs any more: what was made from it has been written."""
-    spark = table.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: A table of at most this many rows, with so many bytes of text in them, may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
