@@ -59,9 +59,10 @@ class Encoder:
         added = [re.escape(x["content"]) for x in parts.get("added_tokens") or []]
         self.whole = re.compile("|".join([r" (?:\s|\Z)", *added]))
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Gives the memory of all words back."""
         #: word -> its number; a text's first word, which has no space before it, is known by a space
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, "<u2"), np.zeros(1 << 16, np.int64)  # all words' ids end to end; ends[k + 1] is where those of number k end
@@ -82,7 +83,7 @@ class Encoder:
     def _numbers(self, words: list[bytes], firsts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of different words, and of texts' first words; new ones are learned."""
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self.forget()
         get = self.known.get
         if new := [w for w in words if get(w) is None]:
             ids = self._ids((b" " + b" ".join(new)).decode())
@@ -213,6 +214,7 @@ def written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 total += len(ids) + 1
         if held:
             yield out()
+        encoder.forget()  # coding and later stages need the memory more
 
     return ordered.mapInArrow(run, f"shard long, segment long, n_ids long, doc_ids array<{kind.simpleString()}>, n_tokens array<long>, data binary")
 
