@@ -23,6 +23,8 @@ END = 2
 MAGIC = b"TLTOKEN1"
 #: Words of which an encoder remembers the ids, before it forgets all, and characters of text that it works on at once.
 REMEMBERED, AT_ONCE = 600_000, 2 << 20
+#: The same where ids are coded beside: a smaller one takes no longer, and some 100 MB less.
+AT_ONCE_CODING = 1 << 19
 
 _ROLL = Rolling(0xA0761D6478BD642F)
 
@@ -125,12 +127,12 @@ class Encoder:
         for text, p in zip(texts, plain, strict=True):
             yield next(found) if p else self._ids(text)
 
-    def __call__(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    def __call__(self, texts: Iterable[str | None], at_once: int = AT_ONCE) -> Iterator[np.ndarray]:
         held, size = [], 0
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
-            if size >= AT_ONCE:
+            if size >= at_once:
                 yield from self._encoded(held)
                 held, size = [], 0
         yield from self._encoded(held)
@@ -205,7 +207,7 @@ def written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         for batch in batches:
             id_type = batch.schema.field(0).type
             texts = (x.as_py() for x in batch.column(1))
-            for owner, ids in zip(batch.column(0).to_pylist(), encoder(texts), strict=True):
+            for owner, ids in zip(batch.column(0).to_pylist(), encoder(texts, AT_ONCE_CODING), strict=True):
                 if held and total + len(ids) + 1 > block * lanes:
                     yield out()
                     held, owners, total, segment = [], [], 0, segment + 1
