@@ -263,6 +263,25 @@ def test_encoder_by_word():
         assert ids.tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_splits_at_marks_and_line_ends():
+    encode = token_output.Encoder()
+    texts = ["over. over, over! over\nover;\nover: over", "a.b ,c", "x\n\ny.\n.z", "don't.\n's", "\u00e9.\n\u00c4\n\u3000\n x", "\n", ".\n", "z\u0085\ny\n\u00a0.", "$9,9.\r\n1", "", "ab\n\u4e2d\nc?!\n?"]
+    for t, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
+    encode.forget()
+    list(encode(texts[:1]))
+    assert len(encode.known) == 8  # the word with and without a space, five marks and the line's end
+
+
+def test_ranges_move_on_once_an_id():
+    rng = np.random.default_rng(9)
+    blocks = [rng.choice([3, 65_534], 3000, p=[0.999, 0.001]).astype(np.uint32), np.append(np.full(2999, 3), 65_534).astype(np.uint32)]
+    prior = range_coder.Prior.of(np.arange(65_535))  # ids as rare as they get
+    coded = range_coder.encode(blocks, prior)
+    assert all(len(c) % 4 == 0 and len(c) < 4 * len(b) for c, b in zip(coded, blocks))
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(coded, [3000, 3000], prior), strict=True))
+
+
 def token_rows(rows):
     from tokenizers import Tokenizer
 

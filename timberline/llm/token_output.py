@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,26 @@ from timberline.llm.range_coder import NONE, Prior, decode, encode
 from timberline.llm.textbytes import Rolling, same_spans
 
 #: Ids in a block, and blocks in a segment (a row of the file), at most.
-BLOCK, LANES = 2048, 1024
+BLOCK, LANES = 2048, 2048
 END = 2
 MAGIC = b"TLTOKEN1"
 #: Words of which an encoder remembers the ids, before it forgets all, and characters of text that it works on at once.
 REMEMBERED, AT_ONCE = 600_000, 2 << 20
 #: The same where ids are coded beside: a smaller one takes no longer, and some 100 MB less.
 AT_ONCE_CODING = 1 << 19
+#: New words that are encoded in one call's text.
+TOGETHER = 128
 
 _ROLL = Rolling(0xA0761D6478BD642F)
+_ALONE = np.uint64(0x9E3779B97F4A7C15)
+_SPACE, _LETTER, _MARK, _BEFORE_LINE, _AFTER_LINE = 1, 2, 4, 8, 16
+#: What a byte may be to its neighbours. Beyond ASCII, characters that begin with C3 to DF are never white space.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x20] = _SPACE
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KINDS[list(b".,;:!?")] = _MARK
+_KINDS[0x21:0x7F] |= _BEFORE_LINE | _AFTER_LINE
+_KINDS[0xC3:0xE0] |= _AFTER_LINE
 
 
 def tokenizer_path() -> str:
@@ -39,8 +51,9 @@ class Encoder:
     """Ids of whole texts. Of byte-level BPE without a prefix space, each different word is encoded once while it is remembered.
 
     Its pattern never joins a space to what is before it, unless white space or the end follows. A text in which each space is followed by
-    something else is thus encoded word by word, with the space before the word; any other text, and one that holds the name of an added token, is encoded in one piece. New words are
-    encoded end to end, and their ids told apart by the tokens that begin with a space.
+    something else is thus encoded word by word, with the space before the word; any other text, and one that holds the name of an added token, is encoded in one piece.
+    Nor does it join a mark of ``.,;:!?`` to an ASCII letter before it, or a line's end to what is beside it unless that is white space too; so words end there as well, and
+    most of them are met again. New words are encoded end to end, and their ids told apart by the tokens that begin with a space.
 
     Texts are worked on some MB at a time: their words are told apart by hashes and compared with the first of their hash, byte by byte; each different one is
     looked up once, and all texts' ids are gathered from those of the words.
@@ -58,14 +71,14 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         if size > NONE:
             raise ValueError("ids of more than 16 bits aren't supported")
-        added = [re.escape(x["content"]) for x in parts.get("added_tokens") or []]
-        self.whole = re.compile("|".join([r" (?:\s|\Z)", *added]))
+        self.added = [x["content"] for x in parts.get("added_tokens") or []]
+        self.spaces = re.compile(r" (?:\s|\Z)")
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.forget()
 
     def forget(self) -> None:
         """Gives the memory of all words back."""
-        #: word -> its number; a text's first word, which has no space before it, is known by a space
+        #: word -> its number; one without a space before it is known by a space
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, "<u2"), np.zeros(1 << 16, np.int64)  # all words' ids end to end; ends[k + 1] is where those of number k end
 
@@ -82,46 +95,58 @@ class Encoder:
         self.ends[n + 1 : n + 1 + len(words)] = at + np.cumsum(sizes)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def _numbers(self, words: list[bytes], firsts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of different words, and of texts' first words; new ones are learned."""
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of different words; new ones are learned."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        get = self.known.get
-        if new := [w for w in words if get(w) is None]:
-            ids = self._ids((b" " + b" ".join(new)).decode())
+        numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(numbers < 0)
+        if not len(unknown):
+            return numbers
+        new = [words[i] for i in unknown.tolist()]
+        after, alone = ([w for w in new if w.startswith(b" ") is first] for first in (False, True))
+        if after:
+            runs = [(b" " + b" ".join(after[i : i + TOGETHER])).decode() for i in range(0, len(after), TOGETHER)]
+            ids = np.concatenate([np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
             at = np.flatnonzero(self.spaced[ids])
-            self._add(new, ids, np.diff(at, append=len(ids)))
-        if new := [w for w in dict.fromkeys(firsts) if get(w) is None]:
-            coded = [np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast([w[1:].decode() for w in new], add_special_tokens=False)]
-            self._add(new, np.concatenate(coded), np.array([len(x) for x in coded]))
-        return tuple(np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) for x in (words, firsts))
+            self._add(after, ids, np.diff(at, append=len(ids)))
+        if alone:
+            coded = [np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast([w[1:].decode() for w in alone], add_special_tokens=False)]
+            self._add(alone, np.concatenate(coded), np.array([len(x) for x in coded]))
+        numbers[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return numbers
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray] | None:
         """The ids of texts that may be encoded word by word; None if two different words have one hash."""
         raws = [x.encode() for x in texts]
-        raw = b" " + b" ".join(raws)
+        raw = b" ".join([b"", *raws, b""])
         data = np.frombuffer(raw + bytes(8), np.uint8)
-        start = np.flatnonzero(data[: len(raw)] == 0x20) + 1
-        end = np.append(start[1:] - 1, len(raw))
-        opening = np.searchsorted(start, np.cumsum([1, *[len(x) + 1 for x in raws[:-1]]]))  # each text's first word
-        inner = np.ones(len(start), bool)
-        inner[opening] = False
-        a, b = start[inner], end[inner]
-        _, first, same = np.unique(_ROLL.spans(_ROLL.sums(data), a, b), return_index=True, return_inverse=True)
-        if not ((b - a == (b - a)[first][same]).all() and same_spans(data, raw, a, a[first][same], b - a).all()):
+        kind = _KINDS[data[: len(raw)]]
+        space, letter, mark, left, right = ((kind & x) > 0 for x in (_SPACE, _LETTER, _MARK, _BEFORE_LINE, _AFTER_LINE))
+        line = data[: len(raw)] == 0x0A  # line ends that are words of their own
+        line[1:-1] &= left[:-2] & right[2:]
+        begins = line.copy()
+        begins[1:] |= line[:-1] | letter[:-1] & mark[1:] | space[:-1]
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(raw))
+        end -= space[end - 1]
+        first_of = np.searchsorted(start, np.cumsum([1, *[len(x) + 1 for x in raws[:-1]]]))  # each text's first word
+        alone = ~space[start - 1]  # without a space before
+        alone[first_of] = True
+        _, first, same = np.unique(_ROLL.spans(_ROLL.sums(data), start, end) ^ (alone * _ALONE), return_index=True, return_inverse=True)
+        sizes = end - start
+        if not ((sizes == sizes[first][same]).all() and (alone == alone[first][same]).all() and same_spans(data, raw, start, start[first][same], sizes).all()):
             return None
-        words = [raw[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)]
-        number = np.zeros(len(start), np.int64)
-        of_words, number[opening] = self._numbers(words, [raw[i - 1 : j] for i, j in zip(start[opening].tolist(), end[opening].tolist(), strict=True)])
-        number[inner] = of_words[same]
+        words = [b" " + raw[i:j] if k else raw[i:j] for i, j, k in zip(start[first].tolist(), end[first].tolist(), alone[first].tolist(), strict=True)]
+        number = self._numbers(words)[same]
         begin, stop = self.ends[number], self.ends[number + 1]
         sizes = stop - begin
         total = np.cumsum(sizes)
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - (total - sizes), sizes)]
-        return np.split(ids, (total - sizes)[opening[1:]])
+        return np.split(ids, np.append(0, total)[first_of[1:]])
 
     def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
-        plain = [self.by_word and not self.whole.search(x) for x in texts]
+        plain = [self.by_word and not self.spaces.search(x) and not any(a in x for a in self.added) for x in texts]
         some = [x for x, p in zip(texts, plain, strict=True) if p]
         found = iter((some and self._by_words(some)) or map(self._ids, some))
         for text, p in zip(texts, plain, strict=True):
@@ -177,12 +202,13 @@ def unpack(data: bytes) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint32), *blocks])
 
 
-def written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, block: int = BLOCK, lanes: int = LANES) -> DataFrame:
+def written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, block: int = BLOCK, lanes: int = LANES, remember: bool = False) -> DataFrame:
     """The files' rows: (shard, segment, n_ids, doc_ids, n_tokens, data). Documents are in ascending order of id over shards and segments.
 
     A segment holds whole documents, about ``block`` x ``lanes`` ids of them at most unless one document has more, and is read for itself.
     Null and empty texts have the end id alone. Rows that repeat an id follow each other in the order of their texts' hashes; null ids come first. A very long text is one
-    segment, however many ids it has. Other columns are not read. An empty table gives no rows.
+    segment, however many ids it has. Other columns are not read. An empty table gives no rows. With ``remember``, a Python worker keeps the ids of the words that it
+    met, up to ``REMEMBERED``, for its later tasks: less work, but some 100 MB more.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
@@ -216,7 +242,8 @@ def written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 total += len(ids) + 1
         if held:
             yield out()
-        encoder.forget()  # coding and later stages need the memory more
+        if not remember:
+            encoder.forget()  # coding and later stages need the memory more
 
     return ordered.mapInArrow(run, f"shard long, segment long, n_ids long, doc_ids array<{kind.simpleString()}>, n_tokens array<long>, data binary")
 
@@ -255,4 +282,4 @@ def tokens(docs: DataFrame, **how) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), remember=True)
