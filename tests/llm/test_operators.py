@@ -417,6 +417,17 @@ def test_repeats_odd(odd, none):
     assert repeats.without_repeats(none).count() == 0
 
 
+def test_texts_of_which_nothing_is_known_are_not_shuffled(spark, tmp_path):
+    rows = [(i if i % 50 else None, 7, f"text {i}") for i in range(2000)]
+    spark.createDataFrame([r[:2] for r in rows if r[0] is None or r[0] % 100 == 1], "id long, sig long").write.parquet(str(tmp_path / "owners"))
+    owners, others = repeats.divided(spark.createDataFrame(rows, "id long, sig long, text string").repartition(3), spark.read.parquet(str(tmp_path / "owners")))
+    own, rest = owners.collect(), others.collect()
+    assert sorted(r.text for r in own + rest) == sorted(r[2] for r in rows)
+    assert {r.text for r in own} >= {r[2] for r in rows if r[0] is None or r[0] % 100 == 1} and len(own) <= 80
+    text = next(line for line in others._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line)
+    assert text and "hashpartitioning(id" not in others._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_starts(data, length):
     """Places of the strings (each ended by a byte 255) that begin ``length`` bytes that begin elsewhere too."""
     at = [i for i in range(len(data) - length + 1) if 255 not in data[i : i + length]]

@@ -29,6 +29,10 @@ def _marked(bits: str, h: str) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
 
 
+#: The same for other operators.
+marks, marked = _bits, _marked
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, and the ``extra`` columns.
 

@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import partitions, saved, small, text_or_empty
+from timberline.llm import exact_dedup
+from timberline.llm.common import partitions, removed, saved, small, text_or_empty
 from timberline.llm.textbytes import Rolling, chunks
 
 #: Bytes that a string must have to count as repeated.
@@ -251,10 +252,25 @@ def _stretches(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (kind, *[pa.int64()] * 3))], names=["id", "sig", "start", "end"])
 
 
+def divided(docs: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` whose (id, sig) may be in the written table ``owners``, all that are among them; and those that surely aren't.
+
+    Owners mark bits in a map of 2^24 bits, which is broadcast: so of texts that nothing is known of, few are shuffled.
+    """
+
+    def h(df: DataFrame) -> DataFrame:
+        return df.withColumn("h", F.pmod(F.xxhash64("id", "sig"), F.lit(1 << exact_dedup.BITS)) + 1)
+
+    marks = F.broadcast(saved(exact_dedup.marks(h(owners.select("id", "sig"))), "marks"))
+    asked = h(docs).join(marks, F.bitmap_bucket_number("h") == F.col("bucket"), "left").withColumn("owns", F.coalesce(exact_dedup.marked("bits", "h"), F.lit(False)))
+    return tuple(asked.filter(own).select(docs.columns) for own in (F.col("owns"), ~F.col("owns")))
+
+
 def cut_contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(anchor, id, sig, first, n, hot, text, shard): the bytes of the ``wanted`` runs (id, sig, first, starts, anchor, n, hot) of the documents."""
+    """(anchor, id, sig, first, n, hot, text, shard): the bytes of the ``wanted`` runs (id, sig, first, starts, anchor, n, hot; a written table) of the documents."""
     lists = wanted.groupBy("id", "sig").agg(F.collect_list(F.struct("first", "starts", "anchor", "n", "hot")).alias("runs")).withColumnsRenamed({"id": "w_id", "sig": "w_sig"})
-    joined = docs.join(lists, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sig") == F.col("w_sig"))).select("id", "sig", "text", "runs")
+    owners, _ = divided(docs, wanted)
+    joined = owners.join(lists, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("sig") == F.col("w_sig"))).select("id", "sig", "text", "runs")
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +305,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     4. Anchors with over ``most`` contexts (the edge of a passage that very many documents share) would be too much for one task: of those, each
        string is dealt out by its own hash and counted (:func:`repeated_strings`).
 
+    Texts are shuffled only of documents that have contexts to cut, or spans (:func:`divided`); all others are read in place.
+
     Null and empty texts, and texts shorter than ``length``, stay whole. Rows that repeat an id and its text are one document's rows: they
     share spans, and are repeats of each other. Texts are taken as UTF-8. Other columns are not read. An empty table gives an empty result.
     """
@@ -298,16 +316,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     runs = saved(occurrences(rows, length), "runs")
     often = saved(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")  # written, so that the join can be split at an anchor with very many runs
-    runs = saved(runs.join(small(often), "anchor", "left_semi"), "candidates")
+    every, runs = runs, saved(runs.join(small(often), "anchor", "left_semi"), "candidates")
+    removed(every)
     same = runs.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "sig", "first", "starts")).alias("one"))
     same = saved(same.select("anchor", "context", "n", "one.*"), "contexts")
     several = saved(same.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("anchor", (F.col("contexts") > most).alias("hot")), "several")
-    cut = saved(cut_contexts(rows, same.drop("context").join(small(several), "anchor"), length), "cut")
+    wanted = saved(same.drop("context").join(small(several), "anchor"), "wanted")
+    cut = saved(cut_contexts(rows, wanted, length), "cut")
     merged = repeated_starts(cut.filter("not hot"), length).unionByName(repeated_strings(cut.filter("hot"), length))
     twice = small(saved(same.filter("n > 1").select("anchor", "context"), "twice"))
     whole = runs.join(twice, ["anchor", "context"], "left_semi").select("id", "sig", F.col("first").alias("start"), (F.col("first") + F.col("starts") - 1 + length).alias("end"))
-    spans = whole.unionByName(merged).groupBy("id", "sig").agg(F.collect_set(F.struct("start", "end")).alias("found")).withColumnsRenamed({"id": "s_id", "sig": "s_sig"})
-    joined = rows.join(saved(spans, "spans"), F.col("id").eqNullSafe(F.col("s_id")) & (F.col("sig") == F.col("s_sig")), "left").select("id", "text", "found")
+    spans = saved(whole.unionByName(merged).groupBy("id", "sig").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    owners, others = divided(rows, spans)
+    spans = spans.withColumnsRenamed({"id": "s_id", "sig": "s_sig"})
+    joined = owners.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("sig") == F.col("s_sig")), "left").select("id", "text", "found")
+    joined = joined.unionByName(others.select("id", "text", F.lit(None).cast(spans.schema["found"].dataType).alias("found")))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
