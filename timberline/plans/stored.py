@@ -147,7 +147,8 @@ def fetch_stored(spark, sf):
     at = workspace(spark, "entries")
     e, whole = flagged_rows(spark, sf)
     sinks.write_entries(e, at, whole=whole)
-    return D.fetch_by_ids(scan.read_entries(spark, at), list(range(7, 1000, 50))).select("id", F.unix_millis("ts").alias("ts_ms"), F.md5(F.col("content").cast("binary")).alias("content"))
+    ids = list(range(7, 1000, 50))
+    return D.fetch_by_ids(scan.read_entries(spark, at, ids), ids).select("id", F.unix_millis("ts").alias("ts_ms"), F.md5(F.col("content").cast("binary")).alias("content"))
 
 
 @query(sql("SELECT id, place FROM (SELECT id, row_number() OVER (ORDER BY ts_ms, file_path, line_number) - 1 AS place FROM log_entries) WHERE place BETWEEN 450 AND 649 OR place < 20"))
