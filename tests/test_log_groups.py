@@ -26,3 +26,10 @@ def test_groups_of_logs(spark, monkeypatch, name, fits):
     monkeypatch.setattr(L, "remove", lambda spark, path: gone.append(path) or remove(spark, path))
     check(QUERIES[name](spark, SF), connect(SF), SQL[name])
     assert len(sizes) >= 2 and max(sizes) < 0.8 * sum(sizes)
+
+
+def test_parsed_fields_have_contents(spark):
+    """All fields of an entry are read from its text, the content among them."""
+    got = QUERIES["parse_fields"](spark, SF)
+    assert sorted(got.columns) == sorted(queries.FIELDS)
+    assert got.agg({"content": "count"}).first()[0] == connect(SF).sql("SELECT count(*) FROM events").fetchall()[0][0]
