@@ -56,3 +56,18 @@ def test_a_written_table_leaves_no_shuffle(spark):
     before = left()
     table = written(spark.range(200_000).select(F.rand(1).alias("x")).repartition(3, "x"), "rows")
     assert table.count() == 200_000 and left() - before < 100_000
+
+
+def test_entries_of_a_text_that_comes_twice(spark, tmp_path):
+    """What is joined to an entry twice makes two rows of it, each with the content that its key names; contents stay once."""
+    e, texts = rows(spark, 0, 60)
+    twice = texts.unionByName(texts.filter("text = 1"))
+    twice = twice.unionByName(spark.createDataFrame([(2, "another")], "text long, content string"))
+    join = lambda r: r.join(twice, "text").drop("text")
+    keyed = e.join(twice.select("text", sinks.content_key("content").alias("content_key")).distinct(), "text")
+    sinks.write_entries(keyed.withColumn("id", F.col("line_number")), str(tmp_path / "e"), whole=join)
+    found = scan.read_entries(spark, str(tmp_path / "e"))
+    sizes = {(r.line_number % 6, r.content): r["count"] for r in found.groupBy("line_number", "content").count().collect()}
+    long = {r.text: r.content for r in texts.collect()}
+    assert sizes == {(0, long[0]): 1, (1, long[1]): 2, (2, long[2]): 2, (2, "another"): 2, (3, long[3]): 1, (4, long[4]): 1, (5, None): 1}
+    assert spark.read.parquet(contents_path(str(tmp_path / "e"))).count() == 6
